@@ -19,9 +19,8 @@ from pyspark.sql import types as T
 NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?", re.ASCII)
 WORDS = {"true": True, "false": False, "null": None}
 BLANKS = " \t\n\r"
-#: Java's \s knows only ASCII unless told otherwise.
-BLANK_PATTERN = r"(?U)^[\s\x1c-\x1f]*$"
-LONG_RUN = re.compile(r"\S{1601}")
+#: Nothing but white space, as a Java pattern.
+BLANK = r"(?U)^[\s\x1c-\x1f]*$"
 
 
 def is_blocks(content: Column) -> Column:
@@ -164,7 +163,5 @@ def standing(records: DataFrame) -> DataFrame:
     A row without source_file or line_num has no name and stands for itself. The grouping combines before its shuffle, so
     that a record delivered any number of times is no hot group; only the three key columns are read.
     """
-    keys = records.select("rec_id", "source_file", "line_num")
-    named = F.col("source_file").isNotNull() & F.col("line_num").isNotNull()
-    first = keys.where(named).groupBy("source_file", "line_num").agg(F.min("rec_id").alias("rec_id")).select("rec_id")
-    return first.unionByName(keys.where(~named).select("rec_id"))
+    nameless = F.when(F.col("source_file").isNull() | F.col("line_num").isNull(), F.col("rec_id"))
+    return records.groupBy("source_file", "line_num", nameless.alias("nameless")).agg(F.min("rec_id").alias("rec_id")).select("rec_id")
