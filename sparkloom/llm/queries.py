@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, splitting
+from . import conversations, encoding, leakage, splitting
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,6 +38,18 @@ def p6_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.round_trip(spark, table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip)}
+def _leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked_items(_leaks(spark, sf), "doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.removal_spans(_leaks(spark, sf), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans)}
 
 SQL: dict[str, str] = {}
