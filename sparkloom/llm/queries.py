@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, leakage, splitting
+from . import conversations, encoding, leakage, neighbours, splitting
+
+
+def _nearest(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf, "ideas"), "id", "embedding")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.neighbour_pairs(_nearest(spark, sf))
+
+
+def p2_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    zipped = F.arrays_zip("ids", "similarities")
+    rows = _nearest(spark, sf).select("id", F.posexplode(zipped).alias("at", "one"))
+    return rows.select("id", (F.col("at") + 1).alias("rank"), F.col("one.ids").alias("neighbour_id"), F.col("one.similarities").alias("similarity"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,6 +64,6 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.removal_spans(_leaks(spark, sf), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans)}
 
 SQL: dict[str, str] = {}
