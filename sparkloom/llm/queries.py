@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, encoding, leakage, neighbours, splitting
+from . import conversations, encoding, leakage, neighbours, quality, splitting
 
 
 def _nearest(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,6 +64,63 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.removal_spans(_leaks(spark, sf), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans)}
-
-SQL: dict[str, str] = {}
+def p8_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classified(table(spark, sf, "documents"), table(spark, sf, "doc_labels"), table(spark, sf, "common_words"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_kinds(spark, sf).where(~F.col("kind").isin("prose", "blank")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_kinds)}
+
+_TEXTS = r"""
+WITH stood AS (
+  SELECT *, message.content AS c FROM synthetic_conversation
+  QUALIFY source_file IS NULL OR line_num IS NULL OR row_number() OVER (PARTITION BY source_file, line_num ORDER BY rec_id) = 1
+), said AS (
+  SELECT *, c[:2] = '[{' OR c = '[]' AS is_list FROM stood WHERE type IN ('user', 'assistant') AND tool_use_result IS NULL AND c IS NOT NULL
+), parsed AS (
+  SELECT *, is_list AND NOT json_valid(c) AS damaged,
+    CASE WHEN is_list AND json_valid(c) THEN
+      list_filter(CAST(json_extract(c, '$[*]') AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'text' AND json_type(b, '$.text') = 'VARCHAR') END AS blocks
+  FROM said
+), texts AS (
+  SELECT *, CASE WHEN is_list THEN CASE WHEN len(blocks) > 0 THEN array_to_string(list_transform(blocks, lambda b: json_extract_string(b, '$.text')), chr(10)) END ELSE c END AS txt
+  FROM parsed
+)
+"""
+
+SQL = {
+    "p3_found": _TEXTS
+    + r"""
+, rows_ AS (
+  SELECT session, source_file, line_num, rec_id, type = 'user' AS by_user, damaged,
+    coalesce(regexp_matches(txt, '[^\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]'), false) AS turn,
+    CASE WHEN regexp_full_match(timestamp, '[0-9]{1,15}') THEN CAST(timestamp AS BIGINT) * 1000
+         WHEN regexp_full_match(timestamp, '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}(:?[0-9]{2})?)?')
+         THEN epoch_us(TRY_CAST(CASE WHEN regexp_matches(timestamp, '(Z|[+-][0-9]{2}(:?[0-9]{2})?)$') AND NOT regexp_full_match(timestamp, '.{10}') THEN timestamp ELSE timestamp || 'Z' END AS TIMESTAMPTZ)) END AS instant,
+    CASE WHEN coalesce(regexp_replace(message.role, '[\s\p{Z}]', '', 'g'), '') = '' THEN type ELSE lower(regexp_replace(message.role, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) END AS speaker, type
+  FROM texts WHERE session IS NOT NULL
+), ordered AS (
+  SELECT *, lag(by_user) OVER w AS earlier, row_number() OVER w AS n, count(*) OVER (PARTITION BY session) AS size FROM rows_ WHERE turn OR damaged
+  WINDOW w AS (PARTITION BY session ORDER BY instant NULLS FIRST, source_file, line_num, rec_id)
+), whole AS (
+  SELECT session FROM ordered GROUP BY session
+  HAVING NOT bool_or(damaged OR instant IS NULL OR speaker <> type OR (by_user AND coalesce(earlier, false)) OR (n = 1 AND NOT by_user) OR (n = size AND by_user))
+), opened AS (
+  SELECT session, rec_id, n, last_value(CASE WHEN by_user THEN n END IGNORE NULLS) OVER w AS open_n, last_value(CASE WHEN by_user THEN rec_id END IGNORE NULLS) OVER w AS opener_rec_id
+  FROM ordered SEMI JOIN whole USING (session) WINDOW w AS (PARTITION BY session ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+)
+SELECT session, opener_rec_id, CAST(n - open_n AS INTEGER) AS step, rec_id FROM opened""",
+    "p5_found": _TEXTS
+    + r"""
+SELECT rec_id, CAST(list_max(list_transform(regexp_split_to_array(txt, '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+'), lambda x: length(x))) > 1600 AS INTEGER) AS unbroken
+FROM texts WHERE length(txt) > 1600""",
+    "p7_found": r"""
+WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
+grams AS (SELECT DISTINCT item_id, least(len(w), 12) AS k, unnest(list_transform(range(1, greatest(len(w) - 12, 0) + 2), lambda i: array_to_string(w[i:i + least(len(w), 12) - 1], ' '))) AS gram FROM items WHERE len(w) > 0),
+words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+parts AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram FROM words, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k)
+SELECT DISTINCT doc_id, item_id FROM parts JOIN grams USING (k, gram)""",
+}
