@@ -117,14 +117,15 @@ def _put(open_: list, key, value) -> None:
             holder.append(value)
 
 
-def block_text(content: str) -> tuple[str | None, bool]:
-    """Text of a list of blocks, joined with line feeds, and whether the list is damaged."""
+def block_text(content: str) -> tuple[str | None, bool, bool]:
+    """Text of a list of blocks, joined with line feeds, whether the list is damaged, and whether it uses a tool."""
     try:
         blocks = parse_json(content)
     except ValueError:
-        return None, True
+        return None, True, False
     texts = [b["text"] for b in blocks if isinstance(b, dict) and b.get("type") == "text" and isinstance(b.get("text"), str)]
-    return ("\n".join(texts) if texts else None), False
+    uses = any(isinstance(b, dict) and b.get("type") == "tool_use" for b in blocks)
+    return ("\n".join(texts) if texts else None), False, uses
 
 
 def clean(text: str) -> str:
@@ -133,10 +134,10 @@ def clean(text: str) -> str:
 
 
 def with_text(records: DataFrame, content: Column | None = None) -> DataFrame:
-    """Adds record_text and damaged to records.
+    """Adds record_text, damaged and has_tool_use to records.
 
     record_text: plain content, or the block texts joined with line feeds; null where there is none. damaged: a list of
-    blocks that isn't valid JSON. Plain rows keep to the JVM's columns; only lists of blocks are parsed by Arrow batches.
+    blocks that isn't valid JSON. has_tool_use: a block of type tool_use. Plain rows keep to the JVM's columns; only lists of blocks are parsed by Arrow batches.
     A null content gives (null, false).
     """
     content = F.col("message.content") if content is None else content
@@ -145,16 +146,18 @@ def with_text(records: DataFrame, content: Column | None = None) -> DataFrame:
         records.withColumn("_parsed", parsed)
         .withColumn("record_text", F.when(is_blocks(content), F.col("_parsed.text")).otherwise(content))
         .withColumn("damaged", F.coalesce(F.col("_parsed.damaged"), F.lit(False)))
+        .withColumn("has_tool_use", F.coalesce(F.col("_parsed.tool_use"), F.lit(False)))
         .drop("_parsed")
     )
 
 
-@F.arrow_udf(T.StructType().add("text", "string").add("damaged", "boolean"))
+@F.arrow_udf(T.StructType().add("text", "string").add("damaged", "boolean").add("tool_use", "boolean"))
 def _parse_blocks(contents: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in contents:
-        rows = [(None, False) if c is None else block_text(c) for c in batch.to_pylist()]
-        texts = [t if t is None else clean(t) for t, _ in rows]
-        yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array([d for _, d in rows], pa.bool_())], ["text", "damaged"])
+        rows = [(None, False, False) if c is None else block_text(c) for c in batch.to_pylist()]
+        texts = [t if t is None else clean(t) for t, _, _ in rows]
+        flags = [pa.array([r[k] for r in rows], pa.bool_()) for k in (1, 2)]
+        yield pa.StructArray.from_arrays([pa.array(texts, pa.string()), *flags], ["text", "damaged", "tool_use"])
 
 
 def standing(records: DataFrame) -> DataFrame:

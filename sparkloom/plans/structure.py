@@ -45,6 +45,25 @@ found AS (
 )
 """
 
+#: Standing records of speakers, with their text (txt), as a chain of common table expressions.
+RECORD_TEXTS = r"""
+WITH stood AS (
+  SELECT *, message.content AS c FROM synthetic_conversation
+  QUALIFY source_file IS NULL OR line_num IS NULL OR row_number() OVER (PARTITION BY source_file, line_num ORDER BY rec_id) = 1
+), said AS (
+  SELECT *, c[:2] = '[{' OR c = '[]' AS is_list FROM stood WHERE type IN ('user', 'assistant') AND tool_use_result IS NULL AND c IS NOT NULL
+), parsed AS (
+  SELECT *, is_list AND NOT json_valid(c) AS damaged,
+    CASE WHEN is_list AND json_valid(c) THEN
+      list_filter(CAST(json_extract(c, '$[*]') AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'text' AND json_type(b, '$.text') = 'VARCHAR') END AS blocks
+  FROM said
+), texts AS (
+  SELECT *, CASE WHEN is_list THEN CASE WHEN len(blocks) > 0 THEN array_to_string(list_transform(blocks, lambda b: json_extract_string(b, '$.text')), chr(10)) END ELSE c END AS txt,
+    len(list_filter(CAST(CASE WHEN is_list AND json_valid(c) THEN json_extract(c, '$[*]') END AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'tool_use')) > 0 AS uses_tool
+  FROM parsed
+)
+"""
+
 SQL = {
     "p4_found": _CHAINS
     + """SELECT id, CASE WHEN looped THEN 0 ELSE chain[-1] END AS root_id,
