@@ -44,9 +44,12 @@ def statistics(documents: DataFrame, key: str, text: str, common: list[str]) ->
     per = lambda a, b: F.coalesce(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
     count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
     lines = F.filter(F.split(t, LINE_BREAK), lambda x: ~x.rlike(BLANK))
-    words = F.filter(F.split(F.lower(t), r"(?U)[^\p{L}\p{M}\p{N}_'’]+"), lambda w: w.rlike(r"\p{L}"))
+    words = F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}[\p{L}\p{M}\p{N}_'’]*"), F.lit(0))
     solid = F.regexp_replace(t, r"(?U)\s+", "")
-    base = documents.select(F.col(key), F.col(text).alias("_text")).select(key, "_text", lines.alias("_lines"), words.alias("_words"), F.char_length(solid).alias("_solid"), F.coalesce(F.char_length("_text"), F.lit(0)).alias("n_chars"))
+    # The generator keeps Catalyst from copying the split texts into every statistic, and from pushing filters below them.
+    split = F.struct(F.col("_text"), lines.alias("_lines"), words.alias("_words"))
+    base = documents.select(F.col(key), F.col(text).alias("_text")).select(key, F.inline(F.array(split)))
+    base = base.withColumns({"_solid": F.char_length(solid), "n_chars": F.coalesce(F.char_length("_text"), F.lit(0))})
     base = base.withColumn("_pieces", F.transform(F.flatten(F.transform("_lines", lambda x: F.split(x, r"(?<=[.!?…])\s+"))), lambda s: F.lower(F.trim(s))))
     base = base.withColumn("_two", F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("_words", i - 1), F.get("_words", i))))
     n = count(t, r"(?U)\S+")

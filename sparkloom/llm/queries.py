@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.structure import RECORD_TEXTS as _TEXTS
 from ..session import table
 from . import conversations, encoding, leakage, neighbours, quality, splitting
 
@@ -74,23 +75,6 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_kinds)}
 
-_TEXTS = r"""
-WITH stood AS (
-  SELECT *, message.content AS c FROM synthetic_conversation
-  QUALIFY source_file IS NULL OR line_num IS NULL OR row_number() OVER (PARTITION BY source_file, line_num ORDER BY rec_id) = 1
-), said AS (
-  SELECT *, c[:2] = '[{' OR c = '[]' AS is_list FROM stood WHERE type IN ('user', 'assistant') AND tool_use_result IS NULL AND c IS NOT NULL
-), parsed AS (
-  SELECT *, is_list AND NOT json_valid(c) AS damaged,
-    CASE WHEN is_list AND json_valid(c) THEN
-      list_filter(CAST(json_extract(c, '$[*]') AS JSON[]), lambda b: json_extract_string(b, '$.type') = 'text' AND json_type(b, '$.text') = 'VARCHAR') END AS blocks
-  FROM said
-), texts AS (
-  SELECT *, CASE WHEN is_list THEN CASE WHEN len(blocks) > 0 THEN array_to_string(list_transform(blocks, lambda b: json_extract_string(b, '$.text')), chr(10)) END ELSE c END AS txt
-  FROM parsed
-)
-"""
-
 SQL = {
     "p3_found": _TEXTS
     + r"""
