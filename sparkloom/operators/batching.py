@@ -66,10 +66,10 @@ def token_packs(sizes: DataFrame, most: int = 6000) -> DataFrame:
     return packed.select("source_file", "batch_line", "pack_line")
 
 
-def topic_turns(messages: DataFrame) -> DataFrame:
-    """(rec_id, turn): what each message does to the topic: back, deeper, shift or none; the first that fits."""
+def topic_turns(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(keep, rec_id, turn): what each message does to the topic: back, deeper, shift or none; the first that fits."""
     c = F.col("content")
-    return messages.select("rec_id", F.when(back_to_parent(c), "back").when(subtopic(c), "deeper").when(topic_shift(c), "shift").otherwise("none").alias("turn"))
+    return messages.select(*(keep or []), "rec_id", F.when(back_to_parent(c), "back").when(subtopic(c), "deeper").when(topic_shift(c), "shift").otherwise("none").alias("turn"))
 
 
 def semantic_shift(rows: DataFrame, threshold: float = 0.55, rule: str = "gradual") -> DataFrame:

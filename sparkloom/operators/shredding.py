@@ -60,7 +60,7 @@ def _append(column: tuple, path: tuple, before: tuple | None, at: tuple, value)
 
     def missing(level: int, n: int) -> None:
         rep.append(level)
-        dfn.append(lists[max(level, 1) - 1])
+        dfn.append(lists[max(level, 1) - 1] - 1)  # the list is there, an element of this path isn't
         run.append(n)
         values.append(None)
 
