@@ -98,7 +98,7 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
         rank, step = fresh, step * 2
 
 
-def phrases_of(items: list[tuple[int, str]], words: int = PHRASE_WORDS) -> tuple[dict[str, int], dict[tuple, list[int]]]:
+def phrases_of(items: list[tuple[int, str]], words: int) -> tuple[dict[str, int], dict[tuple, list[int]]]:
     """Numbers of the items' words, and the items that each phrase gives away. An item without words has no phrase."""
     number: dict[str, int] = {}
     owners: dict[tuple, list[int]] = {}
@@ -141,29 +141,29 @@ class _Shard:
             yield (*self.owners[o], p, w)
 
 
-def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = PHRASE_WORDS, shard: int = SHARD_SYMBOLS, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(key, item, start, stop): the spans of characters of each document that give away each item.
 
-    A document gives an item away if it holds 12 consecutive words of it (all, if it has fewer), in order and with nothing
+    A document gives an item away if it holds `words` consecutive words of it (all, if it has fewer), in order and with nothing
     but other characters between. Words are runs of letters and digits, compared in lower case. Overlapping hits of one
     document and item are one span. Null and empty texts hold nothing; items without words are given away by nothing.
-    The items are searched in passes of at most PASS_BYTES of text, each sent to all executors.
+    The items are searched in passes of at most pass_bytes of text, each sent to all executors.
     """
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
     out = None
-    for block in _passes(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))):
-        one = source.mapInArrow(_searcher(block), f"key {kinds[0]}, item {kinds[1]}, start int, stop int")
+    for block in _passes(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")), pass_bytes):
+        one = source.mapInArrow(_searcher(block, words, shard), f"key {kinds[0]}, item {kinds[1]}, start int, stop int")
         out = one if out is None else out.unionByName(one)
     if out is None:
         out = source.select("key", F.lit(None).cast(kinds[1]).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("stop")).where("false")
     return out.toDF(key, item_key, "start", "stop")
 
 
-def _passes(items: DataFrame) -> Iterator[list[tuple]]:
+def _passes(items: DataFrame, most: int) -> Iterator[list[tuple]]:
     block, size = [], 0
     for row in items.where(F.length("text") > 0).orderBy("item", "text").toLocalIterator():
-        if block and size + len(row.text) > PASS_BYTES:
+        if block and size + len(row.text) > most:
             yield block
             block, size = [], 0
         block.append((row.item, row.text))
@@ -172,10 +172,10 @@ def _passes(items: DataFrame) -> Iterator[list[tuple]]:
         yield block
 
 
-def _searcher(block: list[tuple]):
-    number, owners = phrases_of(block)
+def _searcher(block: list[tuple], words: int, most: int):
+    number, owners = phrases_of(block, words)
     lengths = np.array([len(p) for p in owners], np.int64)
-    phrases = np.zeros((len(owners), PHRASE_WORDS), np.int64)
+    phrases = np.zeros((len(owners), words), np.int64)
     for i, p in enumerate(owners):
         phrases[i, : len(p)] = p
     given = list(owners.values())
@@ -186,10 +186,10 @@ def _searcher(block: list[tuple]):
             for item in given[p]:
                 by.setdefault((document, item), (text, []))[1].append((word, word + int(lengths[p])))
         ends: dict[str, list] = {}
-        for (document, item), (text, words) in by.items():
+        for (document, item), (text, places) in by.items():
             at = ends.get(text) or ends.setdefault(text, [m.span() for m in WORD.finditer(text)])
             merged: list[list[int]] = []
-            for a, b in sorted(words):
+            for a, b in sorted(places):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], b)
                 else:
@@ -208,9 +208,10 @@ def _searcher(block: list[tuple]):
             for document, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 symbols = np.array([number.get(w.lower(), OTHER) for w in WORD.findall(text)], np.int64)
                 # A long document goes to several shards, which share what a phrase across the cut needs.
-                for first in range(0, len(symbols), SHARD_SYMBOLS):
-                    shard.add(document, text, symbols[max(0, first - PHRASE_WORDS + 1) : first + SHARD_SYMBOLS], max(0, first - PHRASE_WORDS + 1))
-                    if shard.size >= SHARD_SYMBOLS:
+                for first in range(0, len(symbols), most):
+                    start = max(0, first - words + 1)
+                    shard.add(document, text, symbols[start : first + most], start)
+                    if shard.size >= most:
                         yield batch(list(spans(shard)), kinds)
                         shard = _Shard()
         if shard.size:
