@@ -123,12 +123,12 @@ def brute_tree(parent):
 @pytest.mark.parametrize("shape", ["random", "chain", "star", "circle"])
 def test_hierarchy_equals_a_walk(spark, shape):
     r = random.Random(7)
-    n = 150
+    n = 60
     parent = {
         "random": {i: r.choice([None, 999, *range(1, n)]) for i in range(1, n)},
         "chain": {i: i - 1 or None for i in range(1, n)},
         "star": {i: 1 if i > 1 else None for i in range(1, n)},
-        "circle": {i: i % 100 + 1 if i <= 100 else r.randint(1, i - 1) for i in range(1, n)},
+        "circle": {i: i % 40 + 1 if i <= 40 else r.randint(1, i - 1) for i in range(1, n)},
     }[shape]
     rows = [(i, p, "clash", i) for i, p in parent.items()] + [(5, parent[5], "again", 0), (None, 3, "x", 0)]
     found = hierarchy.hierarchy(spark.createDataFrame(rows, "id bigint, parent_id bigint, path string, depth int")).cache()
