@@ -172,3 +172,14 @@ def test_export_and_import(spark, tmp_path):
     assert got["spans"].count() == 3 and got["ideas"].count() == 2 and got["relations"].count() == 1
     twice = exchange.import_into(got, back)
     assert twice["spans"].count() == 6 and twice["ideas"].count() == 2
+
+
+def test_reparent(spark):
+    from sparkloom.operators import context
+
+    spans = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "id bigint, parent_id bigint, name string")
+    moves = spark.createDataFrame([(1, 3), (3, 1)], "id bigint, parent_id bigint")
+    moved, refused = context.reparent(spans, moves.where("id = 3"))
+    assert {x.id: x.parent_id for x in moved.collect()} == {1: None, 2: 1, 3: 1} and refused.count() == 0
+    moved, refused = context.reparent(spans, moves.where("id = 1"))
+    assert {x.id: x.parent_id for x in moved.collect()} == {1: None, 2: 1, 3: 2} and [x.id for x in refused.collect()] == [1]
