@@ -204,7 +204,7 @@ _STEPS = {
 def _walk(direction: str, hops: int) -> str:
     out = f"WITH {_STEPS[direction]}, f0 AS (SELECT DISTINCT id AS seed, id, 0 AS hop, CAST(NULL AS BIGINT) AS parent FROM ideas WHERE id % 50 = 0), w0 AS (SELECT * FROM f0)"
     for h in range(1, hops + 1):
-        out += f", f{h} AS (SELECT seed, nx AS id, {h} AS hop, min(id) AS parent FROM f{h - 1} JOIN st USING (id) WHERE NOT EXISTS (SELECT 1 FROM w{h - 1} w WHERE w.seed = f{h - 1}.seed AND w.id = nx) GROUP BY seed, nx), w{h} AS (SELECT * FROM w{h - 1} UNION ALL SELECT * FROM f{h})"
+        out += f", f{h} AS (SELECT seed, nx AS id, {h} AS hop, min(id) AS parent FROM (SELECT f.seed, st.nx, f.id FROM f{h - 1} f JOIN st ON st.id = f.id LEFT JOIN w{h - 1} w ON w.seed = f.seed AND w.id = st.nx WHERE w.id IS NULL) GROUP BY seed, nx), w{h} AS (SELECT * FROM w{h - 1} UNION ALL SELECT * FROM f{h})"
     return out
 
 

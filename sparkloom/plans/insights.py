@@ -143,10 +143,10 @@ SQL = {
     "distinct_ideas": "SELECT source_file, source_line, min(id) AS id, count(*) AS copies FROM ideas WHERE source_file IS NOT NULL AND source_line IS NOT NULL GROUP BY 1, 2",
     "find_or_create_topic": f"""WITH {SPANS}, n AS (SELECT id AS span_id, {_canonical('name')} AS canonical_name FROM sp WHERE length(coalesce(name, '')) > 0),
       known AS (SELECT canonical_name, min(id) AS topic_id FROM topics WHERE canonical_name IS NOT NULL GROUP BY 1),
-      fresh AS (SELECT canonical_name, row_number() OVER (ORDER BY canonical_name) + (SELECT coalesce(max(id), 0) FROM topics) AS topic_id FROM (SELECT DISTINCT canonical_name FROM n) d WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.canonical_name = d.canonical_name))
+      fresh AS (SELECT canonical_name, row_number() OVER (ORDER BY canonical_name) + (SELECT coalesce(max(id), 0) FROM topics) AS topic_id FROM (SELECT DISTINCT n.canonical_name FROM n LEFT JOIN known k ON k.canonical_name = n.canonical_name WHERE k.canonical_name IS NULL))
       SELECT span_id, topic_id, n.canonical_name, is_new FROM n JOIN (SELECT *, false AS is_new FROM known UNION ALL SELECT *, true FROM fresh) e ON e.canonical_name = n.canonical_name""",
     "topic_times": f"""WITH {SPANS}, s AS (SELECT topic_id, min(start_time) AS a, max(coalesce(end_time, start_time)) AS b FROM sp GROUP BY topic_id)
       SELECT t.id, coalesce(a, first_seen) AS first_seen, coalesce(b, last_seen) AS last_seen FROM topics t LEFT JOIN s ON s.topic_id = t.id""",
-    "delete_forgotten": "SELECT r.* FROM relations r WHERE NOT EXISTS (SELECT 1 FROM ideas i WHERE i.forgotten AND i.id IN (r.from_id, r.to_id))",
+    "delete_forgotten": "WITH g AS (SELECT DISTINCT id FROM ideas WHERE forgotten) SELECT r.* FROM relations r LEFT JOIN g a ON a.id = r.from_id LEFT JOIN g b ON b.id = r.to_id WHERE a.id IS NULL AND b.id IS NULL",
     "clean_topic_name": f"SELECT id, {_clean('name')} AS clean, {_canonical('name')} AS canonical, length(lower(coalesce(name, ''))) < 5 OR regexp_matches(lower(coalesce(name, '')), '{_any(tx.BAD_NAMES)}') AS bad FROM topics",
 }
