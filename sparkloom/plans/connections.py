@@ -72,7 +72,7 @@ def session_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_context(spark: SparkSession, sf: str) -> DataFrame:
-    return records.around(_ideas(spark, sf).where("id % 50 = 0"), _messages(spark, sf), "id", "source_file", "source_line", 5, 5)
+    return records.around(_ideas(spark, sf), _messages(spark, sf), "id", "source_file", "source_line", 5, 5)
 
 
 def message_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,11 +103,11 @@ def idea_relations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expand_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.walk(_ideas(spark, sf).where("id % 50 = 0"), _relations(spark, sf), 1).select("seed", "id", "hop")
+    return graph.walk(_ideas(spark, sf), _relations(spark, sf), 1).select("seed", "id", "hop")
 
 
 def trace(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.walk(_ideas(spark, sf).where("id % 50 = 0"), _relations(spark, sf), 3, "out")
+    return graph.walk(_ideas(spark, sf), _relations(spark, sf), 3, "out")
 
 
 def find_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -201,8 +201,8 @@ _STEPS = {
 }
 
 
-def _walk(direction: str, hops: int) -> str:
-    out = f"WITH {_STEPS[direction]}, f0 AS (SELECT DISTINCT id AS seed, id, 0 AS hop, CAST(NULL AS BIGINT) AS parent FROM ideas WHERE id % 50 = 0), w0 AS (SELECT * FROM f0)"
+def _walk(direction: str, hops: int, seeds: str = "ideas") -> str:
+    out = f"WITH {_STEPS[direction]}, f0 AS (SELECT DISTINCT id AS seed, id, 0 AS hop, CAST(NULL AS BIGINT) AS parent FROM {seeds}), w0 AS (SELECT * FROM f0)"
     for h in range(1, hops + 1):
         out += f", f{h} AS (SELECT seed, nx AS id, {h} AS hop, min(id) AS parent FROM (SELECT f.seed, st.nx, f.id FROM f{h - 1} f JOIN st ON st.id = f.id LEFT JOIN w{h - 1} w ON w.seed = f.seed AND w.id = st.nx WHERE w.id IS NULL) GROUP BY seed, nx), w{h} AS (SELECT * FROM w{h - 1} UNION ALL SELECT * FROM f{h})"
     return out
@@ -233,7 +233,7 @@ regexp_matches(lower(content), '{_Q(tx.SHIFTS)}') AS shift, regexp_matches(lower
     "extract_entities": _entities("doc_id", "text", "documents"),
     "entity_mentions": _MESSAGES + f", e AS ({_entities('rec_id', 'content', 'msg')}) SELECT name, type, count(*) AS mentions, count(DISTINCT session) AS sessions FROM e JOIN msg USING (rec_id) GROUP BY 1, 2",
     "session_names": r"SELECT DISTINCT source_file, regexp_extract('/' || source_file, '/projects/([^/]+)/', 1) AS session, regexp_extract(source_file, '([^/]+?)(?:\.[^./]*)?$', 1) AS stem FROM synthetic_conversation",
-    "source_context": _MESSAGES + " SELECT i.id, m.source_file, m.line_num, m.line_num = i.source_line AS is_source, m.content[:500] AS content FROM ideas i JOIN msg m ON m.source_file = i.source_file AND m.line_num BETWEEN i.source_line - 5 AND i.source_line + 5 WHERE i.id % 50 = 0",
+    "source_context": _MESSAGES + " SELECT i.id, m.source_file, m.line_num, m.line_num = i.source_line AS is_source, m.content[:500] AS content FROM ideas i JOIN msg m ON m.source_file = i.source_file AND m.line_num BETWEEN i.source_line - 5 AND i.source_line + 5",
     "message_context": _MESSAGES
     + ", p AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY line_num, rec_id) AS place FROM msg WHERE source_file IS NOT NULL) SELECT a.rec_id, b.rec_id AS other_id, CAST(b.place - a.place AS BIGINT) AS distance FROM p a JOIN p b ON a.source_file = b.source_file AND b.place BETWEEN a.place - 2 AND a.place + 2 AND b.place <> a.place AND b.line_num BETWEEN a.line_num - 20 AND a.line_num + 20",
     "idea_times": _MESSAGES + ", l AS (SELECT source_file, line_num, min(sent_us) AS s FROM msg GROUP BY 1, 2) SELECT id, coalesce(epoch_us(message_time), s) AS time_us FROM ideas i LEFT JOIN l ON l.source_file = i.source_file AND l.line_num = i.source_line",
@@ -247,7 +247,7 @@ SELECT source_file, batch_line, pack_line FROM k""",
     "idea_relations": "SELECT id, relation_type, CAST(sum(o) AS BIGINT) AS outgoing, CAST(sum(i) AS BIGINT) AS incoming FROM (SELECT from_id AS id, relation_type, 1 AS o, 0 AS i FROM relations UNION ALL SELECT to_id, relation_type, 0, 1 FROM relations) GROUP BY 1, 2",
     "expand_relations": _walk("both", 1) + " SELECT seed, id, hop FROM w1",
     "trace": _walk("out", 3) + " SELECT * FROM w3",
-    "find_path": _walk("both", 3)
+    "find_path": _walk("both", 3, "ideas WHERE id % 50 = 0")
     + """, p1 AS (SELECT seed, id, hop, seed || '/' || id AS path FROM f1), p2 AS (SELECT f2.seed, f2.id, f2.hop, path || '/' || f2.id AS path FROM f2 JOIN p1 ON p1.seed = f2.seed AND p1.id = f2.parent),
 p3 AS (SELECT f3.seed, f3.id, f3.hop, path || '/' || f3.id AS path FROM f3 JOIN p2 ON p2.seed = f3.seed AND p2.id = f3.parent)
 SELECT seed, id, hop, CAST(seed AS VARCHAR) AS path FROM f0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""",

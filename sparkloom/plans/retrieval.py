@@ -154,7 +154,7 @@ def boost_active(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def enrich_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return search.enrich_relations(_ideas(spark, sf).where("id % 50 = 0"), table(spark, sf, "relations"))
+    return search.enrich_relations(_ideas(spark, sf), table(spark, sf, "relations"))
 
 
 def like_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,6 +246,6 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 s AS (SELECT query_id, id, round(CASE WHEN act > 0.1 THEN greatest(0.0::DOUBLE, d * (1 - 0.3::DOUBLE * act)) ELSE d END, 9) AS distance FROM a)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM s""",
     "enrich_relations": """WITH e AS (SELECT from_id AS id, to_id AS other_id, relation_type, 'out' AS direction, id AS relation_id FROM relations UNION ALL SELECT to_id, from_id, relation_type, 'in', id FROM relations)
-SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY direction DESC, relation_id) AS INTEGER) AS place, other_id, relation_type, direction FROM e SEMI JOIN (SELECT id FROM ideas WHERE id % 50 = 0) q USING (id) QUALIFY place <= 3""",
+SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY direction DESC, relation_id) AS INTEGER) AS place, other_id, relation_type, direction FROM e SEMI JOIN (SELECT id FROM ideas) q USING (id) QUALIFY place <= 3""",
     "like_search": "SELECT id FROM ideas WHERE contains(lower(content), 'the cache') ORDER BY created_at DESC NULLS LAST, id DESC LIMIT 100",
 }
