@@ -38,7 +38,7 @@ def mark_forgotten(ideas: DataFrame, ids: DataFrame, value: bool = True) -> Data
 def consolidation(ideas: DataFrame, span_rows: DataFrame, now: Column, days: int = 7, least: int = 3) -> DataFrame:
     """(topic_id, n, mean_confidence): topics with enough visible, old, unprotected ideas to be summed up."""
     rows = with_topic(visible(ideas), span_rows).where(F.col("topic_id").isNotNull() & (age_days(now, F.col("created_at")) >= days) & ~should_preserve(F.col("intent"), F.col("confidence")))
-    return rows.groupBy("topic_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence")).where(F.col("n") >= least)
+    return rows.groupBy("topic_id").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("mean_confidence")).where(F.col("n") >= least)
 
 
 def consolidate(ideas: DataFrame, span_rows: DataFrame, now: Column, days: int = 7, least: int = 3, most: int = 5) -> DataFrame:

@@ -66,7 +66,7 @@ _BY_SPAN = "bs AS (SELECT span_id, count(*) AS n FROM ideas WHERE span_id IS NOT
 _COUNTED = f"{SPANS}, {_BY_SPAN}, bt AS (SELECT topic_id, count(*) AS spans, coalesce(sum(n), 0) AS ideas FROM sp LEFT JOIN bs ON bs.span_id = sp.id GROUP BY topic_id), lt AS (SELECT t.id, t.name, t.project_id, coalesce(bt.spans, 0) AS span_count, CAST(coalesce(bt.ideas, 0) AS BIGINT) AS idea_count FROM topics t LEFT JOIN bt ON bt.topic_id = t.id)"
 _PRESERVE = "NOT (coalesce(intent IN ('decision', 'conclusion'), false) OR coalesce(confidence >= 0.9, false))"
 _OLD = f"floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 86400000000) >= 7"
-_CONS = f"cons AS (SELECT topic_id, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM ti WHERE topic_id IS NOT NULL AND {_OLD} AND {_PRESERVE} GROUP BY topic_id HAVING count(*) >= 3)"
+_CONS = f"cons AS (SELECT topic_id, count(*) AS n, round(avg(confidence), 9) AS mean_confidence FROM ti WHERE topic_id IS NOT NULL AND {_OLD} AND {_PRESERVE} GROUP BY topic_id HAVING count(*) >= 3)"
 _WM = f"wm AS (SELECT session, id AS idea_id, round(least(1.0::DOUBLE, 0.2::DOUBLE * access_count) * pow(0.9::DOUBLE, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(last_accessed)) / 86400000000)), 9) AS activation FROM ideas WHERE {VISIBLE} AND last_accessed IS NOT NULL)"
 
 
