@@ -9,7 +9,7 @@ from ..functions.vectors import cosine
 from .clusters import centroids, topic_ideas
 from .hierarchy import hierarchy
 from .memory import spans, visible, when_said
-from .nearest import within
+from .nearest import usable, within
 
 
 def ancestor_context(span_rows: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def ancestor_context(span_rows: DataFrame) -> DataFrame:
 
 def reparent(span_rows: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The spans after moves (id, parent_id; ids unique), and the moves refused because they would close a circle."""
+
     def moved(pairs: DataFrame) -> DataFrame:
         to = pairs.select("id", F.col("parent_id").alias("_to"), F.lit(True).alias("_moved"))
         return span_rows.join(to, "id", "left").withColumn("parent_id", F.when(F.col("_moved"), F.col("_to")).otherwise(F.col("parent_id"))).select(span_rows.columns)
@@ -56,8 +57,6 @@ def span_texts(span_rows: DataFrame, ideas: DataFrame, ends: int = 3, most: int
 
 def span_vectors(ideas: DataFrame, dim: int = 64) -> DataFrame:
     """(id, v): mean vector of each span's visible ideas."""
-    from .nearest import usable
-
     rows = visible(ideas).where(F.col("span_id").isNotNull())
     return centroids(usable(rows, "id", "embedding", dim).join(rows.select("id", "span_id"), "id"), "span_id", dim).select(F.col("span_id").alias("id"), "v")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vectors import cosine, doubles
 from ..session import materialize, shared_dir
-from .memory import overlaps
+from .memory import overlaps, spans
 from .nearest import within
 from .ordering import lay_out, running
 
@@ -131,8 +131,6 @@ def topic_links(topic_vectors: DataFrame, topic_times: DataFrame, threshold: flo
 
 def project_tree(projects: DataFrame, topics: DataFrame, span_rows: DataFrame) -> DataFrame:
     """(path, kind, id, name, depth): projects, their topics and the topics' spans; topics without project stand under 0."""
-    from .memory import spans
-
     t = topics.select("id", "name", F.coalesce("project_id", F.lit(0)).alias("project_id"))
     none = t.where("project_id = 0").select(F.lit(0).cast("bigint").alias("id"), F.lit("(Unassigned)").alias("name")).distinct()
     p = projects.select("id", "name").unionByName(none)

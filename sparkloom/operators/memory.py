@@ -16,7 +16,8 @@ def spans(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct(*SPAN_ORDER)).alias("s")).select("id", *[F.col("s")[c].alias(c) for c in SPAN_ORDER])
 
 
-def when_said(ideas: DataFrame | None = None) -> Column:
+def when_said() -> Column:
+    """When an idea was said: the time of its message, else its own."""
     return F.coalesce("message_time", "created_at").cast("timestamp")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.blocks import clean, parse_json
+from ..functions.blocks import clean, parse_json, standing
 
 LIST = 0
 COLUMNS = "rep array<int>, def array<int>, run array<int>, value array<string>"
@@ -199,7 +199,8 @@ def value_table(shredded: DataFrame, key: str) -> DataFrame:
 def content_objects(records: DataFrame) -> DataFrame:
     """(rec_id, node_path, parent_path): the objects in the block lists of transcript records.
 
-    Damaged lists, plain texts and null contents have none; of a record delivered again only the first row counts.
+    Damaged lists, plain texts and null contents have none; of a record delivered again only the first row counts, and rows
+    without rec_id don't.
     """
     return object_table(shred(_block_lists(records), "rec_id", "content", objects_only=True), "rec_id").select("rec_id", "node_path", "parent_path")
 
@@ -210,7 +211,5 @@ def content_values(records: DataFrame) -> DataFrame:
 
 
 def _block_lists(records: DataFrame) -> DataFrame:
-    from ..functions.blocks import standing
-
     lists = records.select("rec_id", F.col("message.content").alias("content")).where(F.col("content").startswith("[{"))
     return lists.join(standing(records), "rec_id", "left_semi")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.vectors import cosine, doubles
-from ..operators import batching, clusters, graph, lifecycle, memory, nearest, records
+from ..functions.vectors import cosine
+from ..operators import batching, clusters, graph, lifecycle, nearest, records
+from ..operators.ordering import lay_out, running
 from ..session import table
-from .shared import CENTROIDS, SPANS, TOPICAL, VECTORS, VISIBLE
+from .shared import CENTROIDS, SPANS, VECTORS
 from .structure import RECORD_TEXTS
 
 
@@ -134,8 +135,6 @@ def project_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 def semantic_shift(spark: SparkSession, sf: str) -> DataFrame:
     """Shifts in each session, by the similarity of each idea to the one before it that has a usable vector."""
-    from ..operators.ordering import lay_out, running
-
     rows = _ideas(spark, sf).where(F.col("session").isNotNull())
     good = nearest.usable(rows, "id", "embedding", 64).join(rows.select("id", "session", F.coalesce("message_time", "created_at").alias("at")), "id")
     by, order = ["session"], ["at", "id"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, memory, nearest, search
 from ..session import table
-from .shared import CENTROIDS, SPANS, TOPICAL, VECTORS, VISIBLE, WORDS
+from .shared import CENTROIDS, SPANS, VECTORS, VISIBLE, WORDS
 
 DIM, K = 64, 10
 
