@@ -20,7 +20,7 @@ LABELLED, COMMON = 5_000, 10_000
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
 ITEM = r"(?U)^\s*(?:[-*•–—·▪◦+]|\[[ xX]\]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+\S"
 PAIR = r"(?U)^\s*[\w.-]+(?:\s\w+){0,2}\s*[:=]\s*\S"
-ROW = r"\|.*\||\t|;[^;]*;|\S\s{2,}\S+.*\S\s{2,}\S|^[^,.]*,[^,.]*,[^,.]*,[^.]*$"
+ROW = r"\|.*\||\t|;[^;]*;|\S\s{3,}\S|^[^.]*,\S[^.]*,\S[^.]*$|^[^,.]*,[^,.]*,[^,.]*,[^.]*$"
 LINE_END = r"""[.!?:;…。！？]["'”’»)\]]*\s*$"""
 SENTENCE = r"""[.!?…。！？]["'”’»)\]]*(?=\s|$)"""
 ODD = r"[�ÃÂïâ€™¿½¼©]"
