@@ -248,11 +248,14 @@ def extract_entities(content: Column, word_boundary: bool = False) -> Column:
     low = F.lower(F.coalesce(content, F.lit("")))
     known = F.array(*[F.struct(F.lit(t).alias("word"), F.lit(CANONICAL_NAMES.get(t, t)).alias("name")) for t in TECHNOLOGIES])
     if word_boundary:
-        found = F.filter(known, lambda t: F.regexp_like(low, F.concat(F.lit(r"(?<!\w)\Q"), t["word"], F.lit(r"\E(?!\w)"))))
+        met = lambda s, t: F.regexp_like(s, F.concat(F.lit(r"(?<!\w)\Q"), t["word"], F.lit(r"\E(?!\w)")))
     else:
-        found = F.filter(known, lambda t: F.contains(low, t["word"]))
+        met = lambda s, t: F.contains(s, t["word"])
+    # The outer lambda holds the lower-case text, which would otherwise be made again for every word.
+    found = F.get(F.transform(F.array(low), lambda s: F.filter(known, lambda t: met(s, t))), F.lit(0))
+    # A path starts where its run of characters starts: without the look-behind a long run would be tried at every place.
     techs = F.transform(found, lambda t: F.struct(t["name"].alias("name"), F.lit("technology").alias("type")))
-    files = F.transform(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(f"({FILE_PATH})"), F.lit(1)), lambda f: F.struct(f.alias("name"), F.lit("file").alias("type")))
+    files = F.transform(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(rf"(?<![\w./\-])({FILE_PATH})"), F.lit(1)), lambda f: F.struct(f.alias("name"), F.lit("file").alias("type")))
     concepts = F.filter(
         F.array(*[F.struct(F.regexp_extract(low, p, 1).alias("name"), F.lit("concept").alias("type")) for p in CONCEPTS]), lambda c: c["name"] != ""
     )

@@ -20,7 +20,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; null if it has no direction."""
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v)))
+    # The outer lambda holds the norm, which would otherwise be computed again for every element.
+    return F.when(norm(v) > 0, F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), F.lit(0)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, unit
+from ..session import materialize, shared_dir
 from .memory import visible, with_topic
 from .nearest import closest_points, usable, within
 
@@ -20,10 +21,11 @@ def topic_ideas(ideas: DataFrame, span_rows: DataFrame, dim: int = 64) -> DataFr
 
 def centroids(rows: DataFrame, by: str, dim: int = 64) -> DataFrame:
     """(by, size, v): mean vector of each group to nine places, at length 1. One average for each place, combined before the
-    shuffle, so large groups are no hot keys."""
+    shuffle, so large groups are no hot keys. The few rows are written once, as those who use them read them several times."""
     means = rows.groupBy(by).agg(F.count("*").alias("size"), *[F.avg(F.col("v")[i]).alias(f"m{i}") for i in range(dim)])
     v = F.transform(F.array(*[F.col(f"m{i}") for i in range(dim)]), lambda x: F.round(x, 9))
-    return means.select(by, "size", v.alias("v")).where(norm(F.col("v")) > 0).select(by, "size", unit(F.col("v")).alias("v"))
+    found = means.select(by, "size", v.alias("v")).where(norm(F.col("v")) > 0).select(by, "size", unit(F.col("v")).alias("v"))
+    return materialize(found, f"{shared_dir(rows.sparkSession)}/centroids")[0]
 
 
 def coherence(rows: DataFrame, centres: DataFrame, by: str) -> DataFrame:

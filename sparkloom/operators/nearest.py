@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, norm
+from ..session import materialize, shared_dir
 
 #: Queries of one block: what is sent to all executors at once (2 MB at 64 numbers).
 BLOCK = 4096
@@ -24,7 +25,8 @@ def usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
 
 def _blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, block = [], []
-    for row in queries.orderBy("id").toLocalIterator(prefetchPartitions=True):
+    kept, _ = materialize(queries, f"{shared_dir(queries.sparkSession)}/queries")
+    for row in kept.orderBy("id").toLocalIterator(prefetchPartitions=True):
         ids.append(row.id)
         block.append(row.v)
         if len(ids) == BLOCK:

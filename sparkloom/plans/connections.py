@@ -49,8 +49,9 @@ def review_ideas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def classify_messages(spark: SparkSession, sf: str) -> DataFrame:
-    c, m = F.col("content"), _messages(spark, sf)
-    return m.select("rec_id", tx.classify_intent(c).alias("intent"), tx.assess_confidence(c, tx.classify_intent(c)).alias("confidence"), tx.topic_shift(c).alias("shift"), tx.subtopic(c).alias("deeper"), tx.back_to_parent(c).alias("back"))
+    c = F.col("content")
+    m = _messages(spark, sf).select("rec_id", "content", tx.classify_intent(c).alias("intent"))
+    return m.select("rec_id", "intent", tx.assess_confidence(c, F.col("intent")).alias("confidence"), tx.topic_shift(c).alias("shift"), tx.subtopic(c).alias("deeper"), tx.back_to_parent(c).alias("back"))
 
 
 def topic_turns(spark: SparkSession, sf: str) -> DataFrame:
