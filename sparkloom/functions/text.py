@@ -125,15 +125,23 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def held(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often use names it: branches of a CASE don't share their parts."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_of(markers: tuple[str, ...]) -> str:
     return "|".join(markers)
 
 
 def filter_reason(content: Column, has_tool_use: Column | None = None) -> Column:
     """Why a message isn't worth keeping; null if it is. Null content counts as empty. One CASE, first rule wins."""
-    text = strip(F.coalesce(content, F.lit("")))
-    low, size = F.lower(text), F.char_length(text)
     tool = F.lit(False) if has_tool_use is None else F.coalesce(has_tool_use, F.lit(False))
+    return held(F.lower(strip(F.coalesce(content, F.lit("")))), lambda low: _reason(low, tool))
+
+
+def _reason(low: Column, tool: Column) -> Column:
+    size = F.char_length(low)
     preamble = low.rlike(any_of(PREAMBLES))
     return (
         F.when(size == 0, "empty")
@@ -157,11 +165,14 @@ def is_indexable(content: Column, has_tool_use: Column | None = None) -> Column:
 
 def classify_intent(content: Column) -> Column:
     """decision, solution, problem, conclusion, todo or question by the first pattern met; else context."""
-    low, out = strip(F.lower(F.coalesce(content, F.lit("")))), None
-    for intent, patterns in INTENTS.items():
-        test = low.rlike(any_of(patterns))
-        out = F.when(test, intent) if out is None else out.when(test, intent)
-    return out.otherwise("context")
+
+    def first(low: Column) -> Column:
+        out = F
+        for intent, patterns in INTENTS.items():
+            out = out.when(low.rlike(any_of(patterns)), intent)
+        return out.otherwise("context")
+
+    return held(strip(F.lower(F.coalesce(content, F.lit("")))), first)
 
 
 def assess_confidence(content: Column, intent: Column) -> Column:
@@ -251,8 +262,7 @@ def extract_entities(content: Column, word_boundary: bool = False) -> Column:
         met = lambda s, t: F.regexp_like(s, F.concat(F.lit(r"(?<!\w)\Q"), t["word"], F.lit(r"\E(?!\w)")))
     else:
         met = lambda s, t: F.contains(s, t["word"])
-    # The outer lambda holds the lower-case text, which would otherwise be made again for every word.
-    found = F.get(F.transform(F.array(low), lambda s: F.filter(known, lambda t: met(s, t))), F.lit(0))
+    found = held(low, lambda s: F.filter(known, lambda t: met(s, t)))
     # A path starts where its run of characters starts: without the look-behind a long run would be tried at every place.
     techs = F.transform(found, lambda t: F.struct(t["name"].alias("name"), F.lit("technology").alias("type")))
     files = F.transform(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(rf"(?<![\w./\-])({FILE_PATH})"), F.lit(1)), lambda f: F.struct(f.alias("name"), F.lit("file").alias("type")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import held
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -20,8 +22,7 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length 1; null if it has no direction."""
-    # The outer lambda holds the norm, which would otherwise be computed again for every element.
-    return F.when(norm(v) > 0, F.get(F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / n)), F.lit(0)))
+    return F.when(norm(v) > 0, held(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
