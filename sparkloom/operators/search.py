@@ -37,7 +37,8 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, mode: str = "or") -> DataF
     hint = F.broadcast if small else (lambda df: df)
     bags = rows.where(F.col("id").isNotNull()).select("id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
     whole = bags.agg(F.count("*").alias("rows"), F.avg("size").alias("mean"))
-    posts = bags.select("id", "size", F.explode("words").alias("term")).join(hint(distinct), "term").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    # explode would have Catalyst filter on the words' number first, and so split every text twice.
+    posts = bags.select("id", "size", F.explode_outer("words").alias("term")).join(hint(distinct), "term").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = df.crossJoin(F.broadcast(whole)).select("term", idf.alias("idf"), "mean")
