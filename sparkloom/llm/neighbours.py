@@ -3,8 +3,9 @@
 A learned rotation (principal axes, turned by iterative quantisation on a bounded sample) gives every vector a binary code,
 which is split into TABLES substrings, each the key of an index. Codes within a Hamming radius of TABLES - 1 agree in at
 least one substring (pigeonhole), so probing each vector's own keys retrieves all of them. The floats of everything
-retrieved are reranked: single precision picks a short list, double precision orders it. Substrings lengthen with the
-logarithm of the number of vectors, so that a bucket holds about BUCKET of them at any size of the collection.
+retrieved are reranked: single precision rules out what its rounding error can't bring among the k best, double precision
+orders the rest, however many near-copies that leaves. Substrings lengthen with the logarithm of the number of vectors, so
+that a bucket holds about BUCKET of them at any size of the collection.
 
 No bucket is dropped or cut. One beyond MAX_BUCKET is worked in tiles of its rows against its rows. Of exact copies of one
 vector only the k + 1 smallest ids can be anyone's neighbours: further ones stay out of the index and get those ids.
@@ -24,7 +25,8 @@ TABLES, BUCKET, MAX_BUCKET = 4, 1536, 8192
 SAMPLE = 20_000
 #: A list of oversized buckets up to this length is broadcast (16 bytes a row), a longer one joined by shuffle.
 BROADCAST_ROWS = 100_000
-SPARE, NOBODY = 6, np.iinfo(np.int64).min
+#: Pairs reranked at once (32 MB a copy at 64 numbers); one query's pairs in a bucket or tile stay together.
+PAIRS, NOBODY = 65_536, np.iinfo(np.int64).min
 
 
 def usable(vectors: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -115,11 +117,11 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, dim: int = 6
         groups = tiles.groupBy("bucket", "q", "d")
     else:
         groups = placed.groupBy("bucket")
-    lists = groups.applyInArrow(_reranker(k, dim), "id bigint, ids array<bigint>, minus array<float>")
+    lists = groups.applyInArrow(_reranker(k, dim), "id bigint, ids array<bigint>, minus array<double>")
     every = F.flatten(F.collect_list(F.arrays_zip("minus", "ids")))
     best = F.slice(F.array_sort(F.array_distinct("every")), 1, k)
     merged = lists.groupBy("id").agg(every.alias("every")).select("id", best.alias("best"))
-    found = merged.select("id", F.col("best.ids").alias("ids"), F.transform("best.minus", lambda m: -m).alias("similarities"))
+    found = merged.select("id", F.col("best.ids").alias("ids"), F.transform("best.minus", lambda m: (-m).cast("float")).alias("similarities"))
     return found if extra is None else found.unionByName(extra)
 
 
@@ -160,24 +162,33 @@ def _reranker(k: int, dim: int):
         reps = v[data[first]]
         single = reps.astype(np.float32)
         asked = np.flatnonzero(role & 1)
-        out_ids, out_minus, sizes, size = [], [], [], min(len(first), k + SPARE)
+        out_ids, out_minus, sizes, size = [], [], [], min(len(first), k + 1)
+        # Each of two dot products may be off by the rounding of its factors and of its dim additions.
+        margin = np.float32(2 * (dim + 4) * 2.0**-24)
         for s in range(0, len(asked) if size else 0, 512):
             rows = asked[s : s + 512]
             near = v[rows].astype(np.float32) @ single.T
-            short = np.argpartition(near, len(first) - size, axis=1)[:, len(first) - size :]
-            exact = np.einsum("ij,ikj->ik", v[rows], reps[short])
-            named = members[short].reshape(len(rows), -1)
-            minus = -np.repeat(exact, members.shape[1], axis=1)
-            minus[(named == NOBODY) | (named == ids[rows][:, None])] = np.inf
-            best = np.lexsort((named, minus), axis=1)[:, :k]
-            minus, named = np.take_along_axis(minus, best, 1), np.take_along_axis(named, best, 1)
-            there = np.isfinite(minus)
-            out_ids.append(named[there])
-            out_minus.append(minus[there])
-            sizes.append(there.sum(1))
+            # The query itself may be one of the best, so the bound is of k + 1.
+            short = near >= np.partition(near, len(first) - size, axis=1)[:, len(first) - size, None] - margin
+            run_of = (np.cumsum(short.sum(1)) - 1) // PAIRS
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(run_of)) + 1):
+                q, c = np.nonzero(short[part])
+                asks = rows[part]
+                exact = np.einsum("ij,ij->i", v[asks[q]], reps[c])
+                named = members[c]
+                there = (named != NOBODY) & (named != ids[asks[q]][:, None])
+                n = there.sum(1)
+                q, minus, named = np.repeat(q, n), -np.repeat(exact, n), named[there]
+                best = np.lexsort((named, minus, q))
+                ends_at = np.cumsum(np.bincount(q, minlength=len(part)))
+                starts = np.concatenate([[0], ends_at[:-1]])
+                best = best[np.arange(len(best)) - starts[q[best]] < k]
+                out_ids.append(named[best])
+                out_minus.append(minus[best])
+                sizes.append(np.minimum(ends_at - starts, k))
         ends = pa.array(np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32))
         flat = lambda parts, kind: pa.ListArray.from_arrays(ends, pa.array(np.concatenate([[], *parts]), kind))
-        return pa.table({"id": pa.array(ids[asked] if size else ids[:0], pa.int64()), "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *out_ids]))), "minus": flat(out_minus, pa.float32())})
+        return pa.table({"id": pa.array(ids[asked] if size else ids[:0], pa.int64()), "ids": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *out_ids]))), "minus": flat(out_minus, pa.float64())})
 
     return run
 

@@ -34,6 +34,20 @@ def test_recall(spark, bucket, max_bucket):
     assert found == 1.0 if bucket == 1536 else found >= 0.9
 
 
+@pytest.mark.parametrize("spread, max_bucket, pairs", [(1e-6, 8192, 65_536), (1e-8, 8192, 1000), (1e-8, 50, 65_536)])
+def test_near_copies(spread, max_bucket, pairs, spark, monkeypatch):
+    monkeypatch.setattr(nb, "PAIRS", pairs, raising=False)
+    r = np.random.default_rng(3)
+    one = r.normal(size=16)
+    near = one / np.linalg.norm(one) + np.sqrt(spread / 16) * r.normal(size=(400, 16))
+    v = np.vstack([near * r.uniform(0.5, 2, (400, 1)), r.normal(size=(50, 16))]).astype(np.float32)
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = [[int(j) * 3 for j in np.lexsort((np.arange(len(v)), -s)) if j != i][:10] for i, s in enumerate(u @ u.T)]
+    got = {x.id: x.ids for x in nb.nearest(table(spark, v), "id", "e", dim=16, max_bucket=max_bucket).collect()}
+    assert recall(got, want) > 0.999
+
+
 def test_copies_have_the_smallest_ids(spark):
     v = np.eye(8, dtype=np.float32)[[0] * 60 + [1, 2, 3]]
     got = {x.id: x.ids for x in nb.nearest(table(spark, v), "id", "e", k=4, dim=8).collect()}
