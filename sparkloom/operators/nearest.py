@@ -23,13 +23,13 @@ def usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull() & (F.size(vector) == dim) & (size > 0) & (size < float("inf"))).select(F.col(key).alias("id"), v.alias("v"))
 
 
-def _blocks(queries: DataFrame, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(queries: DataFrame, dim: int, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     ids, block = [], []
     kept, _ = materialize(queries, f"{shared_dir(queries.sparkSession)}/queries")
     for row in kept.orderBy("id").toLocalIterator(prefetchPartitions=True):
         ids.append(row.id)
         block.append(row.v)
-        if len(ids) == BLOCK:
+        if len(ids) == size:
             yield np.array(ids), np.array(block)
             ids, block = [], []
     if ids:
@@ -60,15 +60,15 @@ def _best(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(short, order, 1)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str = "cosine", with_self: bool = False) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str = "cosine", with_self: bool = False, block_size: int = BLOCK) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of each query, by score, then id; both inputs are (id, v).
 
     score is the cosine or the distance, to nine places. Without with_self a row isn't its query's neighbour under the
-    same id. Each task keeps its k best of each query; only those are shuffled. Queries go out in blocks of BLOCK.
+    same id. Each task keeps its k best of each query; only those are shuffled. Queries go out in blocks of block_size.
     """
     sign = -1.0 if metric == "cosine" else 1.0
     out = None
-    for names, block in _blocks(queries, dim):
+    for names, block in _blocks(queries, dim, block_size):
 
         def run(batches: Iterator[pa.RecordBatch], names=names, block=block) -> Iterator[pa.RecordBatch]:
             best = None
@@ -100,6 +100,26 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", (F.col("near") * sign).alias("score"))
 
 
+def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim: int = 64, spare: int = 20) -> DataFrame:
+    """(query_id, rank, id, score): the k nearest rows of each query by cosine, then id, without the pairs (query_id, id).
+
+    The search looks as many neighbours further as the query has pairs, so that k are left after they are taken out: `spare`
+    further for most, the next power of two for queries with more pairs, in blocks that are smaller as the lists are longer.
+    """
+    pairs = pairs.distinct()
+    own = pairs.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > spare)
+    # The length of n - 1 in binary digits is the exponent of the next power of two.
+    many, seen = materialize(own.select(F.col("query_id").alias("id"), F.length(F.bin(F.col("n") - 1)).alias("digits")), f"{shared_dir(queries.sparkSession)}/many", n=F.count("*"))
+    wide = knn(queries.join(many.select("id"), "id", "left_anti") if seen["n"] else queries, rows, k + spare, dim)
+    for (digits,) in many.select("digits").distinct().orderBy("digits").collect() if seen["n"] else []:
+        further = k + 2**digits
+        asked = queries.join(many.where(F.col("digits") == digits).select("id"), "id", "left_semi")
+        wide = wide.unionByName(knn(asked, rows, further, dim, block_size=max(1, BLOCK * (k + spare) // further)))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    left = wide.drop("rank").join(pairs, ["query_id", "id"], "left_anti").withColumn("rank", F.row_number().over(w))
+    return left.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def closest_points(rows: DataFrame, points: DataFrame, k: int, dim: int = 64) -> DataFrame:
     """(id, rank, point_id, score): the k points of greatest cosine for each row, ties by point id; inputs are (id, v).
 

@@ -58,11 +58,10 @@ def knn_temporal(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similar_ideas(spark: SparkSession, sf: str) -> DataFrame:
-    """Neighbours without those already related: the search looks 20 further, as relations are few."""
+    """Neighbours without those already related, however many these are."""
     rows, relations = _rows(spark, sf), table(spark, sf, "relations")
-    wide = nearest.knn(rows.where("id % 50 = 0"), rows, K + 20, DIM)
     pairs = relations.select(F.col("from_id").alias("query_id"), F.col("to_id").alias("id")).unionByName(relations.select(F.col("to_id").alias("query_id"), F.col("from_id").alias("id")))
-    return _scored(search.ranked(wide.drop("rank").join(pairs, ["query_id", "id"], "left_anti"), K, F.desc("score"), "id").select("query_id", "rank", "id", "score"))
+    return _scored(nearest.knn_apart(rows.where("id % 50 = 0"), rows, pairs, K, DIM))
 
 
 def topic_centroids(spark: SparkSession, sf: str) -> DataFrame:
