@@ -14,6 +14,9 @@ from .shared import CENTROIDS, SPANS, VECTORS
 from .structure import RECORD_TEXTS
 
 
+FAR = 6
+
+
 def _records(spark, sf):
     return table(spark, sf, "synthetic_conversation")
 
@@ -116,6 +119,11 @@ def find_path(spark: SparkSession, sf: str) -> DataFrame:
     return graph.paths(graph.walk(_ideas(spark, sf).where("id % 50 = 0"), _relations(spark, sf), 3))
 
 
+def find_path_far(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths of up to six hops, the most that the reference lets a caller ask for; find_path has the three that its SQL states."""
+    return graph.paths(graph.walk(_ideas(spark, sf).where("id % 50 = 0"), _relations(spark, sf), FAR))
+
+
 def detect_relations(spark: SparkSession, sf: str) -> DataFrame:
     return graph.detected_relations(_ideas(spark, sf))
 
@@ -155,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         messages, filter_reason, indexable_by_session, review_ideas, classify_messages, topic_turns, extract_entities, entity_mentions, session_names, source_context, message_context,
-        idea_times, gap_batches, token_packs, clean_relations, idea_relations, expand_relations, trace, find_path, detect_relations, detect_relations_vector, auto_link, project_tree,
+        idea_times, gap_batches, token_packs, clean_relations, idea_relations, expand_relations, trace, find_path, find_path_far, detect_relations, detect_relations_vector, auto_link, project_tree,
         semantic_shift, similar_names,
     )
 }
@@ -251,6 +259,11 @@ SELECT source_file, batch_line, pack_line FROM k""",
     + """, p1 AS (SELECT seed, id, hop, seed || '/' || id AS path FROM f1), p2 AS (SELECT f2.seed, f2.id, f2.hop, path || '/' || f2.id AS path FROM f2 JOIN p1 ON p1.seed = f2.seed AND p1.id = f2.parent),
 p3 AS (SELECT f3.seed, f3.id, f3.hop, path || '/' || f3.id AS path FROM f3 JOIN p2 ON p2.seed = f3.seed AND p2.id = f3.parent)
 SELECT seed, id, hop, CAST(seed AS VARCHAR) AS path FROM f0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3""",
+    "find_path_far": _walk("both", FAR, "ideas WHERE id % 50 = 0")
+    + ", p0 AS (SELECT seed, id, hop, CAST(seed AS VARCHAR) AS path FROM f0)"
+    + "".join(f", p{h} AS (SELECT f{h}.seed, f{h}.id, f{h}.hop, path || '/' || f{h}.id AS path FROM f{h} JOIN p{h - 1} p ON p.seed = f{h}.seed AND p.id = f{h}.parent)" for h in range(1, FAR + 1))
+    + " "
+    + " UNION ALL ".join(f"SELECT * FROM p{h}" for h in range(FAR + 1)),
     "detect_relations": f"""WITH {_PLACED}, d AS (SELECT id, other_id, back, {_OVERLAP} AS shared, {_SUP} AS sup, {_ADD} AS add_, {_ANS} AS ans, coalesce(intent = other_intent, false) AS alike FROM pr)
 SELECT id AS from_id, other_id AS to_id, 'supersedes' AS relation_type FROM d WHERE sup AND (alike OR shared) QUALIFY row_number() OVER (PARTITION BY id ORDER BY back) = 1
 UNION ALL SELECT id, other_id, 'builds_on' FROM d WHERE add_ AND shared QUALIFY row_number() OVER (PARTITION BY id ORDER BY back) = 1 UNION ALL SELECT id, other_id, 'answers' FROM d WHERE ans AND shared""",

@@ -15,3 +15,10 @@ def test_similar_ideas_of_an_idea_with_many_relations(spark, tmp_path):
     spark.createDataFrame(related, "from_id bigint, to_id bigint").write.parquet(f"{tmp_path}/relations.parquet")
     got = [(x.query_id, x.rank, x.id) for x in QUERIES["similar_ideas"](spark, str(tmp_path)).orderBy("rank").collect()]
     assert got == [(0, n + 1, i) for n, i in enumerate(ids[46:56])]
+
+
+def test_paths_of_six_hops(spark, tmp_path):
+    spark.createDataFrame([(0,), (1,)], "id bigint").write.parquet(f"{tmp_path}/ideas.parquet")
+    spark.createDataFrame([(i, i + 1) if i % 2 else (i + 1, i) for i in range(8)], "from_id bigint, to_id bigint").write.parquet(f"{tmp_path}/relations.parquet")
+    got = [(x.seed, x.id, x.hop, x.path) for x in QUERIES["find_path_far"](spark, str(tmp_path)).orderBy("hop").collect()]
+    assert got == [(0, n, n, "/".join(map(str, range(n + 1)))) for n in range(7)]
