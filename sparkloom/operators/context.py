@@ -61,6 +61,17 @@ def span_vectors(ideas: DataFrame, dim: int = 64) -> DataFrame:
     return centroids(usable(rows, "id", "embedding", dim).join(rows.select("id", "span_id"), "id"), "span_id", dim).select(F.col("span_id").alias("id"), "v")
 
 
+def related_topics(ideas: DataFrame, span_rows: DataFrame, least: float = 0.8, k: int = 5, dim: int = 64) -> DataFrame:
+    """(query_id, rank, id, score): for each topic's mean vector the other topics whose nearest span is at least this similar,
+    at most k, by that similarity, then id. Of a topic's spans the nearest is kept by an aggregate before anything is ranked."""
+    points = centroids(topic_ideas(ideas, span_rows, dim), "topic_id", dim).select(F.col("topic_id").alias("id"), "v")
+    owners = spans(span_rows).where(F.col("topic_id").isNotNull()).select("id", "topic_id")
+    rows = span_vectors(ideas, dim).join(owners, "id").select(F.col("topic_id").alias("id"), "v")
+    near = within(points, rows, least, dim).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+
+
 def topic_expansion(ideas: DataFrame, span_rows: DataFrame, least: float = 0.8, topics: int = 5, k: int = 10, dim: int = 64) -> DataFrame:
     """(query_id, rank, id, topic_id, score): for each topic, the ideas of its most similar other topics nearest to it.
 

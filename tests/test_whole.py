@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from sparkloom.operators import records
 from sparkloom.plans.registry import QUERIES
 
 
@@ -22,3 +23,16 @@ def test_paths_of_six_hops(spark, tmp_path):
     spark.createDataFrame([(i, i + 1) if i % 2 else (i + 1, i) for i in range(8)], "from_id bigint, to_id bigint").write.parquet(f"{tmp_path}/relations.parquet")
     got = [(x.seed, x.id, x.hop, x.path) for x in QUERIES["find_path_far"](spark, str(tmp_path)).orderBy("hop").collect()]
     assert got == [(0, n, n, "/".join(map(str, range(n + 1)))) for n in range(7)]
+
+
+def test_related_topic_by_its_one_close_span(spark, tmp_path):
+    at = np.eye(64, dtype=np.float32)
+    # Topic 1 lies on axis 0. Topic 2 has one span there and its mean far off; topic 3 is unlike.
+    vectors = {10: (1, at[0]), 20: (2, at[0]), 21: (2, at[1]), 22: (2, at[1]), 23: (2, at[2]), 30: (3, at[3])}
+    spans = [(i, t) for i, (t, _) in vectors.items()]
+    ideas = [(i, i, v.tolist(), False) for i, (_, v) in vectors.items()]
+    rest = "end_time timestamp, end_line int, depth int, start_time timestamp, created_at timestamp, start_line int, name string, summary string, session string, parent_id bigint"
+    spark.createDataFrame([(*s, *[None] * 10) for s in spans], f"id bigint, topic_id bigint, {rest}").write.parquet(f"{tmp_path}/spans.parquet")
+    spark.createDataFrame(ideas, "id bigint, span_id bigint, embedding array<float>, forgotten boolean").write.parquet(f"{tmp_path}/ideas.parquet")
+    got = [tuple(x) for x in QUERIES["related_topics_by_span"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2, 1.0)]
