@@ -26,6 +26,26 @@ def find_golden(names: DataFrame, golden: DataFrame, least: float = 0.8) -> Data
     return exact.unionByName(best.select("name", "b.golden_id", "b.canonical_name", (-F.col("b.s")).alias("similarity")))
 
 
+def similar_pairs(names: DataFrame, least: float = 0.8) -> DataFrame:
+    """(a, b, similarity): the pairs a < b of (id, name) whose names are at least this similar, to six places.
+
+    Names only meet names whose length lets them reach `least`, and are compared in order only where the letters they share,
+    in any order, let them reach it too.
+    """
+    low = F.lower("name")
+    # Each letter with its number among its like, so that what two names share can be counted as a set.
+    letters = F.filter(F.split(low, ""), lambda c: c != "")
+    bag = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).cast("string")))
+    rows = names.where(F.length("name") > 0).select("id", "name", F.char_length(low).alias("size"), bag.alias("bag"))
+    ratio, size, slack = least / (2 - least), F.col("size"), 1e-6
+    reach = F.explode(F.sequence(F.ceil(size * ratio - slack).cast("int"), F.floor(size / ratio + slack).cast("int")))
+    a = rows.select(F.col("id").alias("a"), F.col("name").alias("x"), F.col("size").alias("m"), F.col("bag").alias("p"), reach.alias("size"))
+    b = rows.select(F.col("id").alias("b"), F.col("name").alias("y"), "size", F.col("bag").alias("q"))
+    shared = F.size(F.array_intersect("p", "q"))
+    met = a.join(b, "size").where((F.col("a") < F.col("b")) & (2 * shared >= (least - slack) * (F.col("m") + size)))
+    return met.select("a", "b", F.round(string_similarity(F.col("x"), F.col("y")), 6).alias("similarity")).where(F.col("similarity") >= least)
+
+
 def link_mentions(mentions: DataFrame, golden: DataFrame, least: float = 0.8) -> DataFrame:
     """mentions with golden_id, null where no entry fits."""
     found = find_golden(mentions, golden, least).select("name", F.col("golden_id").alias("_golden"))

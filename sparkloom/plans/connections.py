@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.vectors import cosine
-from ..operators import batching, clusters, graph, lifecycle, nearest, records
+from ..operators import batching, clusters, entities, graph, lifecycle, nearest, records
 from ..operators.ordering import lay_out, running
 from ..session import table
 from .shared import CENTROIDS, SPANS, VECTORS
@@ -152,11 +152,9 @@ def semantic_shift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def similar_names(spark: SparkSession, sf: str) -> DataFrame:
-    """Topics whose names are alike, letter by letter, among those that share their last word but one."""
-    t = table(spark, sf, "topics").select("id", "canonical_name", F.element_at(F.split(F.regexp_replace("canonical_name", " [0-9]+$", ""), " "), -1).alias("word"))
-    a, b = t.select(F.col("id").alias("a"), F.col("canonical_name").alias("x"), "word"), t.select(F.col("id").alias("b"), F.col("canonical_name").alias("y"), "word")
-    alike = a.join(b, "word").where("a < b").withColumn("similarity", F.round(tx.string_similarity(F.col("x"), F.col("y")), 6))
-    return alike.where("similarity >= 0.8").select("a", "b", "similarity")
+    """Topics whose names are alike, letter by letter."""
+    return entities.similar_pairs(table(spark, sf, "topics").select("id", F.col("canonical_name").alias("name")))
+
 
 
 QUERIES = {

@@ -2,7 +2,6 @@
 
 import numpy as np
 
-from sparkloom.operators import records
 from sparkloom.plans.registry import QUERIES
 
 
@@ -36,3 +35,25 @@ def test_related_topic_by_its_one_close_span(spark, tmp_path):
     spark.createDataFrame(ideas, "id bigint, span_id bigint, embedding array<float>, forgotten boolean").write.parquet(f"{tmp_path}/ideas.parquet")
     got = [tuple(x) for x in QUERIES["related_topics_by_span"](spark, str(tmp_path)).orderBy("query_id", "rank").collect()]
     assert got == [(1, 1, 2, 1.0)]
+
+
+def test_similar_names_with_other_last_words(spark, tmp_path):
+    names = ["vector index", "vector indexes", "Vector indxe", "cache", "cahce", "caches 2", "", None, "rate limit", "rate limits", "limit rate", "a", "A"]
+    spark.createDataFrame(list(enumerate(names)), "id bigint, canonical_name string").write.parquet(f"{tmp_path}/topics.parquet")
+
+    def alike(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = next_row(row, c, y)
+        return round(2 * row[-1] / (len(x) + len(y)), 6)
+
+    def next_row(row, c, y):
+        new = [0]
+        for j, d in enumerate(y):
+            new.append(row[j] + 1 if c == d else max(row[j + 1], new[-1]))
+        return new
+
+    low = [(i, n.lower()) for i, n in enumerate(names) if n]
+    want = {(i, j, s) for i, x in low for j, y in low if i < j and (s := alike(x, y)) >= 0.8}
+    got = {tuple(x) for x in QUERIES["similar_names"](spark, str(tmp_path)).collect()}
+    assert got == want and (0, 1) in {x[:2] for x in want}
