@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.blocks import BLANK, standing, with_text
 from ..functions.times import instant
+from .ordering import numbered
 
 
 def messages(records: DataFrame) -> DataFrame:
@@ -83,8 +84,7 @@ def around(marks: DataFrame, rows: DataFrame, key: str, file: str, line: str, be
 def neighbours_in_file(found: DataFrame, before: int = 2, after: int = 2, window: int = 10) -> DataFrame:
     """(rec_id, other_id, distance): the messages before and after each message in its file, by position, within window lines
     per message asked for."""
-    place = F.row_number().over(Window.partitionBy("source_file").orderBy("line_num", "rec_id"))
-    rows = found.where(F.col("source_file").isNotNull()).select("source_file", "rec_id", "line_num", place.alias("place"))
+    rows = numbered(found.where(F.col("source_file").isNotNull()).select("source_file", "rec_id", "line_num"), ["source_file"], ["line_num", "rec_id"]).withColumn("place", F.col("place").cast("int"))
     wanted = rows.select("source_file", "rec_id", F.col("line_num").alias("mark"), F.col("place").alias("at"), F.explode(F.sequence(F.col("place") - before, F.col("place") + after)).alias("place"))
     other = rows.select("source_file", F.col("rec_id").alias("other_id"), "line_num", "place")
     near = F.col("line_num").between(F.col("mark") - before * window, F.col("mark") + after * window)

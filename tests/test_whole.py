@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from sparkloom.operators import records
 from sparkloom.plans.registry import QUERIES
 
 
@@ -57,3 +58,13 @@ def test_similar_names_with_other_last_words(spark, tmp_path):
     want = {(i, j, s) for i, x in low for j, y in low if i < j and (s := alike(x, y)) >= 0.8}
     got = {tuple(x) for x in QUERIES["similar_names"](spark, str(tmp_path)).collect()}
     assert got == want and (0, 1) in {x[:2] for x in want}
+
+
+def test_a_hot_file_of_messages_is_not_one_window(spark):
+    rows = spark.createDataFrame([("f", i, i) for i in range(1, 6)], "source_file string, rec_id bigint, line_num int")
+    found = records.neighbours_in_file(rows, 1, 1)
+    assert sorted(map(tuple, found.collect())) == sorted((i, i + d, d) for i in range(1, 6) for d in (-1, 1) if 1 <= i + d <= 5)
+    # Windows that aren't cut into stretches go by the file alone.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    alone = [x for x in plan.splitlines() if "row_number()" in x and "_stretch" not in x]
+    assert not alone
