@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import BLANK
+from ..functions.text import held
 
 #: Bounds of what comes to the driver: labelled documents to learn from (smallest ids) and common words.
 LABELLED, COMMON = 5_000, 10_000
 #: Patterns of line and word forms.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
+LINE_BREAK = r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
+WORD = r"\p{L}[\p{L}\p{M}\p{N}_'’]*+"
 ITEM = r"(?U)^\s*(?:[-*•–—·▪◦+]|\[[ xX]\]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+\S"
 PAIR = r"(?U)^\s*[\w.-]+(?:\s\w+){0,2}\s*[:=]\s*\S"
-ROW = r"\|.*\||\t|;[^;]*;|\S\s{3,}\S|^[^.]*,\S[^.]*,\S[^.]*$|^[^,.]*,[^,.]*,[^,.]*,[^.]*$"
+INNER_END = r"(?U)\p{L}[.!?…]\s"
 LINE_END = r"""[.!?:;…。！？]["'”’»)\]]*\s*$"""
 SENTENCE = r"""[.!?…。！？]["'”’»)\]]*(?=\s|$)"""
 ODD = r"[�ÃÂïâ€™¿½¼©]"
@@ -30,8 +32,26 @@ STATISTICS = (
 )
 
 
-def statistics(documents: DataFrame, key: str, text: str, common: list[str]) -> DataFrame:
-    """(key, n_chars, n_lines, the STATISTICS): one row for each document; zeros for null, empty and blank texts.
+def _per(a: Column, b: Column) -> Column:
+    return F.when(b > 0, a / b).otherwise(0.0)
+
+
+def _times(text: Column, mark: str) -> Column:
+    """How often a character of one byte stands in a text."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _is_row(line: Column) -> Column:
+    """A line of a table: two bars or semicolons, a tab, a wide gap, or three commas or two tight ones without a full stop; but
+    no sentence that ends within it."""
+    two = lambda mark: line.contains(mark) & (_times(line, mark) >= 2)
+    tight = (_times(line, ",") >= 3) | (F.regexp_count(line, F.lit(r",\S")) >= 2)
+    cells = two("|") | line.contains("\t") | two(";") | (line.contains("   ") & F.trim(line).contains("   ")) | (~line.contains(".") & line.contains(",") & tight)
+    return cells & ~line.rlike(INNER_END)
+
+
+def statistics(documents: DataFrame, key: str, text: str, common: list[str], names: tuple[str, ...] = STATISTICS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep, n_chars, n_lines, the named STATISTICS): one row for each document; zeros for null, empty and blank texts.
 
     n_words: stretches without white space; mean_word: their mean length. Ratios are per character that isn't white space
     (symbol_ratio: neither letter nor digit). punct_lines: share of lines ending in punctuation; list_, pair_, table_ and
@@ -39,53 +59,64 @@ def statistics(documents: DataFrame, key: str, text: str, common: list[str]) ->
     distinct_share: different words among them; name_share: words with an underscore, inner dot or digit; long_share: of 20
     letters and more. Rates are per word. again_share: sentences or lines seen before; pairs_share: different pairs of
     successive words; running_share: share of the characters in lines of running text; sentence_words: words per sentence end. Repeated keys have a row each.
+
+    Only what the names need is worked out,
+    each part once: the generators keep Catalyst from copying it into everything that uses it.
     """
-    t = F.coalesce(F.col("_text"), F.lit(""))
-    per = lambda a, b: F.coalesce(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), F.lit(0.0))
-    count = lambda c, pattern: F.regexp_count(c, F.lit(pattern))
+    t, count = F.coalesce(F.col("_text"), F.lit("")), lambda c, pattern: F.regexp_count(c, F.lit(pattern))
     lines = F.filter(F.split(t, LINE_BREAK), lambda x: ~x.rlike(BLANK))
-    words = F.regexp_extract_all(F.lower(t), F.lit(r"\p{L}[\p{L}\p{M}\p{N}_'’]*"), F.lit(0))
-    solid = F.regexp_replace(t, r"(?U)\s+", "")
-    # The generator keeps Catalyst from copying the split texts into every statistic, and from pushing filters below them.
-    split = F.struct(F.col("_text"), lines.alias("_lines"), words.alias("_words"))
-    base = documents.select(F.col(key), F.col(text).alias("_text")).select(key, F.inline(F.array(split)))
-    base = base.withColumns({"_solid": F.char_length(solid), "n_chars": F.coalesce(F.char_length("_text"), F.lit(0))})
-    base = base.withColumn("_pieces", F.transform(F.flatten(F.transform("_lines", lambda x: F.split(x, r"(?<=[.!?…])\s+"))), lambda s: F.lower(F.trim(s))))
-    base = base.withColumn("_two", F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("_words", i - 1), F.get("_words", i))))
-    n = count(t, r"(?U)\S+")
-    chars = lambda test: F.aggregate(F.filter("_lines", test), F.lit(0), lambda a, x: a + F.char_length(x))
-    in_lines, n_words = chars(lambda x: F.lit(True)), F.size("_words")
-    words_with = lambda pattern: F.size(F.filter("_words", lambda w: w.rlike(pattern)))
+    words = F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
+    length_of = lambda rows: F.aggregate(rows, F.lit(0), lambda a, x: a + F.char_length(x))
+    # Stretches without white space, and the characters in them, from the text with white space as single blanks.
+    flat = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    stretches = lambda f, tight: F.struct(F.when(f == "", 0).otherwise(F.octet_length(f) - F.octet_length(tight) + 1).alias("n"), F.char_length(tight).alias("solid"))
+    parts = {
+        "_text": F.col("_text"),
+        "_in": held(lines, lambda x: F.struct(x.alias("lines"), length_of(x).alias("chars"))),
+        "_of": held(flat, lambda f: held(F.replace(f, F.lit(" "), F.lit("")), lambda tight: stretches(f, tight))),
+    }
+    if set(names) & {"common_share", "distinct_share", "name_share", "long_share", "pairs_share"}:
+        parts["_words"] = words
+    rows = documents.select(F.col(key), *keep, F.col(text).alias("_text"))
+    rows = rows.select(key, *keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in parts.items()]))))
+
+    n, solid, in_lines, size, n_words = F.col("_of.n"), F.col("_of.solid"), F.col("_in.chars"), F.size("_in.lines"), F.size("_words")
+    words_with = lambda test: F.size(F.filter("_words", test))
+    chars = lambda test: length_of(F.filter("_in.lines", test))
     short = lambda x: (count(x, r"(?U)\S+") < 12) & ~x.rlike(LINE_END)
-    return base.select(
-        key,
-        "n_chars",
-        F.size("_lines").alias("n_lines"),
-        n.alias("n_words"),
-        per(F.col("_solid"), n).alias("mean_word"),
-        per(count(t, r"(?U)[^\p{L}\p{M}\p{N}\s]"), F.col("_solid")).alias("symbol_ratio"),
-        per(count(t, r"\p{N}"), F.col("_solid")).alias("digit_ratio"),
-        per(count(t, r"\p{Lu}"), F.col("_solid")).alias("upper_ratio"),
-        per(F.size(F.filter("_lines", lambda x: x.rlike(LINE_END))), F.size("_lines")).alias("punct_lines"),
-        per(F.size(F.filter("_words", lambda w: w.isin(common))), n_words).alias("common_share"),
-        per(F.size(F.array_distinct("_words")), n_words).alias("distinct_share"),
-        per(chars(lambda x: x.rlike(ITEM)), in_lines).alias("list_share"),
-        per(chars(lambda x: x.rlike(PAIR) & short(x)), in_lines).alias("pair_share"),
-        per(chars(lambda x: x.rlike(ROW) & ~x.rlike(r"(?U)\p{L}[.!?…]\s")), in_lines).alias("table_share"),
-        per(chars(short), in_lines).alias("short_share"),
-        per(words_with(r"_|[0-9]"), n_words).alias("name_share"),
-        per(words_with(r"^.{20,}$"), n_words).alias("long_share"),
-        per(count(t, ODD), F.col("_solid")).alias("odd_ratio"),
-        per(count(t, SENTENCE), n).alias("sentence_rate"),
-        per(count(t, ","), n).alias("comma_rate"),
-        per(count(t, ":"), n).alias("colon_rate"),
-        per(count(t, r"[()\[\]{}=]"), n).alias("bracket_rate"),
-        per(n, F.size("_lines")).alias("line_words"),
-        per(chars(lambda x: ~x.rlike(ITEM) & ~x.rlike(ROW) & ~(x.rlike(PAIR) & short(x)) & (x.rlike(SENTENCE) | ~short(x))), in_lines).alias("running_share"),
-        per(n, count(t, SENTENCE) + 1).alias("sentence_words"),
-        (1 - per(F.size(F.array_distinct("_pieces")), F.greatest(F.size("_pieces"), F.lit(1)))).alias("again_share"),
-        per(F.size(F.array_distinct("_two")), F.size("_two")).alias("pairs_share"),
-    )
+    pair = lambda x: x.rlike(PAIR) & short(x)
+    running = lambda x: ~x.rlike(ITEM) & ~_is_row(x) & ~pair(x) & (x.rlike(SENTENCE) | ~short(x))
+    pieces = F.transform(F.flatten(F.transform("_in.lines", lambda x: F.split(x, r"(?<=[.!?…])\s+"))), lambda s: F.lower(F.trim(s)))
+    two = F.transform(F.sequence(F.lit(1), F.greatest(n_words - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("_words", i - 1), F.get("_words", i)))
+    different = lambda of: held(of, lambda x: _per(F.size(F.array_distinct(x)), F.greatest(F.size(x), F.lit(1))))
+    made = {
+        "n_words": lambda: n,
+        "mean_word": lambda: _per(solid, n),
+        "symbol_ratio": lambda: _per(count(t, r"(?U)[^\p{L}\p{M}\p{N}\s]"), solid),
+        "digit_ratio": lambda: _per(count(t, r"\p{N}"), solid),
+        "upper_ratio": lambda: _per(count(t, r"\p{Lu}"), solid),
+        "punct_lines": lambda: _per(F.size(F.filter("_in.lines", lambda x: x.rlike(LINE_END))), size),
+        "common_share": lambda: _per(words_with(lambda w: w.isin(common)), n_words),
+        "distinct_share": lambda: _per(F.size(F.array_distinct("_words")), n_words),
+        "list_share": lambda: _per(chars(lambda x: x.rlike(ITEM)), in_lines),
+        "pair_share": lambda: _per(chars(pair), in_lines),
+        "table_share": lambda: _per(chars(_is_row), in_lines),
+        "short_share": lambda: _per(chars(short), in_lines),
+        "name_share": lambda: _per(words_with(lambda w: w.rlike("_|[0-9]")), n_words),
+        "long_share": lambda: _per(words_with(lambda w: F.char_length(w) >= 20), n_words),
+        "odd_ratio": lambda: _per(count(t, ODD), solid),
+        "sentence_rate": lambda: _per(count(t, SENTENCE), n),
+        "comma_rate": lambda: _per(_times(t, ","), n),
+        "colon_rate": lambda: _per(_times(t, ":"), n),
+        "bracket_rate": lambda: _per(count(t, r"[()\[\]{}=]"), n),
+        "line_words": lambda: _per(n, size),
+        "running_share": lambda: _per(chars(running), in_lines),
+        "sentence_words": lambda: _per(n, count(t, SENTENCE) + 1),
+        "again_share": lambda: 1 - different(pieces),
+        "pairs_share": lambda: different(two),
+    }
+    found = rows.select(key, *keep, F.coalesce(F.char_length("_text"), F.lit(0)).alias("n_chars"), size.alias("n_lines"), *[made[k]().alias(k) for k in names])
+    return found.select(key, *keep, F.inline(F.array(F.struct("n_chars", "n_lines", *names))))
 
 
 Rule = tuple[str, list[tuple[str, str, float]]]
@@ -184,8 +215,8 @@ def learn(documents: DataFrame, key: str, text: str, labels: DataFrame, label: s
     Labels of documents that aren't there, and null labels, don't count; without any, every document is prose.
     """
     bounded = F.broadcast(labels.where(F.col(label).isNotNull()).select(F.col(key), F.col(label).alias("_kind")).orderBy(key, "_kind").limit(LABELLED))
-    marked = documents.select(key, text).join(bounded, key, "left_semi")
-    rows = statistics(marked, key, text, common).join(bounded, key).select("_kind", key, *STATISTICS).orderBy(key, "_kind").toPandas()
+    marked = documents.select(key, text).join(bounded, key)
+    rows = statistics(marked, key, text, common, keep=("_kind",)).select("_kind", key, *STATISTICS).toPandas().sort_values([key, "_kind", *STATISTICS])
     return induce(rows[list(STATISTICS)].to_numpy(np.float64), rows["_kind"].to_numpy(str))
 
 
@@ -197,9 +228,11 @@ def common_words(words: DataFrame) -> list[str]:
     return sorted(found)
 
 
-def classified(documents: DataFrame, labels: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The statistics of each document and its kind: prose, list, table, junk, or blank for null, empty and blank texts."""
+def classified(documents: DataFrame, labels: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, ...] = STATISTICS) -> DataFrame:
+    """The named statistics of each document and its kind: prose, list, table, junk, or blank for null, empty and blank texts."""
     common = common_words(words)
     rules, default = learn(documents, key, text, labels, "kind", common)
+    asked = {name for _, conditions in rules for name, _, _ in conditions} | {"n_words", *names}
     kind: Column = F.when(F.col("n_words") == 0, "blank").otherwise(F.expr(rules_case(rules, default)))
-    return statistics(documents, key, text, common).withColumn("kind", kind)
+    found = statistics(documents, key, text, common, tuple(n for n in STATISTICS if n in asked)).withColumn("kind", kind)
+    return found.select(key, "n_chars", "n_lines", *names, "kind")
