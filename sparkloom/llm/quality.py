@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.blocks import BLANK
 from ..functions.text import held
 
-#: Bounds of what comes to the driver: labelled documents to learn from (smallest ids) and common words.
+#: Bounds of what comes to the driver: labelled documents to learn from (smallest ids) and common words (beyond, a join counts them).
 LABELLED, COMMON = 5_000, 10_000
 #: Patterns of line and word forms.
 LINE_BREAK = r"[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]"
@@ -50,7 +50,7 @@ def _is_row(line: Column) -> Column:
     return cells & ~line.rlike(INNER_END)
 
 
-def statistics(documents: DataFrame, key: str, text: str, common: list[str], names: tuple[str, ...] = STATISTICS, keep: tuple[str, ...] = ()) -> DataFrame:
+def statistics(documents: DataFrame, key: str, text: str, common: list[str] | DataFrame, names: tuple[str, ...] = STATISTICS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep, n_chars, n_lines, the named STATISTICS): one row for each document; zeros for null, empty and blank texts.
 
     n_words: stretches without white space; mean_word: their mean length. Ratios are per character that isn't white space
@@ -60,9 +60,11 @@ def statistics(documents: DataFrame, key: str, text: str, common: list[str], nam
     letters and more. Rates are per word. again_share: sentences or lines seen before; pairs_share: different pairs of
     successive words; running_share: share of the characters in lines of running text; sentence_words: words per sentence end. Repeated keys have a row each.
 
-    Only what the names need is worked out,
+    common is the list of common words, or a table of them (word) of any length. Only what the names need is worked out,
     each part once: the generators keep Catalyst from copying it into everything that uses it.
     """
+    if isinstance(common, DataFrame) and "common_share" in names:
+        return _common_by_join(documents, key, text, common, names, keep)
     t, count = F.coalesce(F.col("_text"), F.lit("")), lambda c, pattern: F.regexp_count(c, F.lit(pattern))
     lines = F.filter(F.split(t, LINE_BREAK), lambda x: ~x.rlike(BLANK))
     words = F.regexp_extract_all(F.lower(t), F.lit(WORD), F.lit(0))
@@ -119,6 +121,20 @@ def statistics(documents: DataFrame, key: str, text: str, common: list[str], nam
     return found.select(key, *keep, F.inline(F.array(F.struct("n_chars", "n_lines", *names))))
 
 
+def _common_by_join(documents: DataFrame, key: str, text: str, common: DataFrame, names: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """statistics() with common words of any number: words are joined with them, once for each different text of a key."""
+    mark = F.sha2(F.coalesce(text, F.lit("")), 256)
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    texts = documents.select(F.col(key).alias("_key"), mark.alias("_mark"), words.alias("_words")).dropDuplicates(["_key", "_mark"])
+    each = texts.select("_key", "_mark", F.explode_outer("_words").alias("word")).groupBy("_key", "_mark", "word").agg(F.count("*").alias("n"))
+    known = common.select(F.lower("word").alias("word")).where(F.col("word").isNotNull()).distinct().withColumn("known", F.lit(1))
+    share = _per(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.sum(F.when(F.col("word").isNotNull(), F.col("n"))))
+    shares = each.join(known, "word", "left").groupBy("_key", "_mark").agg(share.alias("common_share"))
+    rest = statistics(documents.withColumn("_mark", mark), key, text, [], tuple(n for n in names if n != "common_share"), (*keep, "_mark"))
+    of = shares.withColumnRenamed("_mark", "_of")
+    return rest.join(of, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_mark") == F.col("_of"))).select(key, *keep, "n_chars", "n_lines", *names)
+
+
 Rule = tuple[str, list[tuple[str, str, float]]]
 
 
@@ -209,7 +225,7 @@ def rules_case(rules: list[Rule], default: str) -> str:
     return f"CASE{when} ELSE '{default}' END" if rules else f"'{default}'"
 
 
-def learn(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str, common: list[str]) -> tuple[list[Rule], str]:
+def learn(documents: DataFrame, key: str, text: str, labels: DataFrame, label: str, common: list[str] | DataFrame) -> tuple[list[Rule], str]:
     """Rules from the statistics of at most LABELLED labelled documents (those of the smallest keys).
 
     Labels of documents that aren't there, and null labels, don't count; without any, every document is prose.
@@ -220,12 +236,10 @@ def learn(documents: DataFrame, key: str, text: str, labels: DataFrame, label: s
     return induce(rows[list(STATISTICS)].to_numpy(np.float64), rows["_kind"].to_numpy(str))
 
 
-def common_words(words: DataFrame) -> list[str]:
-    """The common words in lower case, of all languages; more than COMMON are an error."""
+def common_words(words: DataFrame) -> list[str] | DataFrame:
+    """The common words in lower case, of all languages; the table itself if they are more than COMMON."""
     found = [r[0] for r in words.select(F.lower("word")).where(F.col("word").isNotNull()).distinct().limit(COMMON + 1).collect()]
-    if len(found) > COMMON:
-        raise ValueError(f"more than {COMMON} common words")
-    return sorted(found)
+    return words if len(found) > COMMON else sorted(found)
 
 
 def classified(documents: DataFrame, labels: DataFrame, words: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, ...] = STATISTICS) -> DataFrame:

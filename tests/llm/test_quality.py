@@ -53,3 +53,14 @@ def test_without_labels_all_is_prose(spark):
     labels = spark.createDataFrame([(7, "junk"), (None, "list"), (1, None)], "doc_id bigint, kind string")
     words = spark.createDataFrame([("en", "the"), ("en", None)], "lang string, word string")
     assert {x.doc_id: x.kind for x in ql.classified(docs, labels, words).collect()} == {1: "prose", 2: "blank"}
+
+
+def test_common_words_of_any_number(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the cat is here"), (1, "the cat is here"), (1, "a b"), (None, "the the"), (2, None), (3, "")], "doc_id bigint, text string")
+    words = spark.createDataFrame([("en", "The"), ("en", "is"), ("de", "is"), ("en", None)], "lang string, word string")
+    listed = ql.common_words(words)
+    monkeypatch.setattr(ql, "COMMON", 1)
+    table = ql.common_words(words)
+    assert listed == ["is", "the"] and not isinstance(table, list)
+    rows = lambda common: sorted((str(x.doc_id), x.n_chars, x.common_share, x.mean_word) for x in ql.statistics(docs, "doc_id", "text", common).collect())
+    assert rows(table) == rows(listed) and len(rows(table)) == 6
