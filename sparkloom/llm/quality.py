@@ -128,7 +128,7 @@ def _common_by_join(documents: DataFrame, key: str, text: str, common: DataFrame
     texts = documents.select(F.col(key).alias("_key"), mark.alias("_mark"), words.alias("_words")).dropDuplicates(["_key", "_mark"])
     each = texts.select("_key", "_mark", F.explode_outer("_words").alias("word")).groupBy("_key", "_mark", "word").agg(F.count("*").alias("n"))
     known = common.select(F.lower("word").alias("word")).where(F.col("word").isNotNull()).distinct().withColumn("known", F.lit(1))
-    share = _per(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.sum(F.when(F.col("word").isNotNull(), F.col("n"))))
+    share = _per(F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("word").isNotNull(), F.col("n"))))
     shares = each.join(known, "word", "left").groupBy("_key", "_mark").agg(share.alias("common_share"))
     rest = statistics(documents.withColumn("_mark", mark), key, text, [], tuple(n for n in names if n != "common_share"), (*keep, "_mark"))
     of = shares.withColumnRenamed("_mark", "_of")
