@@ -1,10 +1,12 @@
 """Held-out passages inside training text, by an FM-index of each shard of the corpus.
 
-A shard is a bounded stretch of a partition's documents as a sequence of word numbers: words of the held-out items have
-their own, all others share one, and runs of those shrink to one symbol. Its index is the Burrows-Wheeler transform as a
-wavelet matrix, with every 16th suffix position. All phrases of all items are searched at once, backwards: one rank query
-for each end of each phrase's interval and word. Rows of non-empty intervals walk to the next sampled position, which gives
-document and word; hits of one document and item merge into spans of characters. Documents never leave their partition.
+A shard is a bounded stretch of a partition's documents as a sequence of word numbers; words that no held-out item has share
+one number, and runs of them shrink to one symbol. Its index is the Burrows-Wheeler transform as a wavelet matrix, with
+every 16th suffix position. The items' phrases are a table made by executors, and are searched in passes of a bounded number
+of them, backwards and all at once: one rank query for each end of each phrase's interval and word, for the phrases whose
+words the shard has. Rows of non-empty intervals walk to the next sampled position, which gives document and place; hits of
+one document and item merge into spans of characters. Documents never leave their partition. With more than one pass the
+indexes are written once, and every pass reads them.
 """
 
 from __future__ import annotations
@@ -14,15 +16,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize, shared_dir
+
 WORD = re.compile(r"[^\W_]+")
 PHRASE_WORDS = 12
 SHARD_SYMBOLS = 1 << 18
 SAMPLE = 16
-#: Held-out text searched in one pass; more is searched in further passes over the corpus.
-PASS_BYTES = 64 << 20
+#: Phrases of items searched in one pass (about 100 bytes each): what is sent to all executors at once.
+PASS_PHRASES = 1 << 18
+#: Bits of the fixed-size filter (2 MB) of the items' words. A word that passes it by chance only has a number of its own.
+FILTER_BITS = 1 << 24
+#: Different words whose numbers a task keeps at hand.
+KNOWN_WORDS = 1 << 20
 END, OTHER = 0, 1
 
 
@@ -52,11 +61,21 @@ class FMIndex:
 
     def __init__(self, sequence: np.ndarray, symbols: int):
         suffixes = suffix_array(sequence)
-        self.bwt = sequence[suffixes - 1]
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(sequence, minlength=symbols))])
-        self.wavelet = WaveletMatrix(self.bwt, max(1, int(symbols - 1).bit_length()))
         sampled = suffixes % SAMPLE == 0
-        self.sampled, self.before, self.samples = sampled, np.cumsum(sampled) - 1, suffixes[sampled]
+        self._build(sequence[suffixes - 1], symbols, sampled, suffixes[sampled])
+
+    def _build(self, bwt: np.ndarray, symbols: int, sampled: np.ndarray, samples: np.ndarray) -> None:
+        self.bwt, self.sampled, self.before, self.samples = bwt, sampled, np.cumsum(sampled) - 1, samples
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=symbols))])
+        self.wavelet = WaveletMatrix(bwt, max(1, int(symbols - 1).bit_length()))
+
+    @classmethod
+    def of(cls, bwt: np.ndarray, symbols: int, marked: np.ndarray, samples: np.ndarray) -> FMIndex:
+        """An index from its transform, and the rows and positions of its samples: nothing is sorted again."""
+        one, sampled = cls.__new__(cls), np.zeros(len(bwt), bool)
+        sampled[marked] = True
+        one._build(bwt, symbols, sampled, samples)
+        return one
 
     def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last-plus-one row of the suffixes that start with each phrase (rows of symbols, padded at the end)."""
@@ -98,139 +117,210 @@ def suffix_array(sequence: np.ndarray) -> np.ndarray:
         rank, step = fresh, step * 2
 
 
-def phrases_of(items: list[tuple[int, str]], words: int) -> tuple[dict[str, int], dict[tuple, list[int]]]:
-    """Numbers of the items' words, and the items that each phrase gives away. An item without words has no phrase."""
-    number: dict[str, int] = {}
-    owners: dict[tuple, list[int]] = {}
-    for item, text in items:
-        seq = [number.setdefault(w.lower(), len(number) + 2) for w in WORD.findall(text or "")]
-        for phrase in dict.fromkeys(tuple(seq[i : i + words]) for i in range(max(1, len(seq) - words + 1)) if seq):
-            owners.setdefault(phrase, []).append(item)
-    return number, owners
+def word_number(word: str) -> int:
+    """A number for a word in lower case, other than END and OTHER."""
+    return max(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1, 2)
+
+
+def phrases(items: DataFrame, words: int) -> DataFrame:
+    """(item, phrase, size): the stretches of `words` words of each of the items (item, text), or all its words if it has
+    fewer, as their numbers laid end to end. An item without words has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, text in enumerate(b.column(1).to_pylist()):
+                seq = np.array([word_number(w.lower()) for w in WORD.findall(text)], np.int64)
+                size = min(words, len(seq))
+                if size:
+                    rows = np.lib.stride_tricks.sliding_window_view(seq, size)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(rows), at))), pa.array([r.tobytes() for r in rows], pa.binary()), pa.array(np.full(len(rows), size), pa.int32())], ["item", "phrase", "size"])
+
+    found = items.where(F.length("text") > 0).select("item", "text")
+    return found.mapInArrow(run, f"item {dict(items.dtypes)['item']}, phrase binary, size int").distinct()
+
+
+def word_filter(table: DataFrame) -> np.ndarray:
+    """Bits of the words in a table of phrases, of a fixed size: made by aggregates, at most 512 rows come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen = np.unique(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int64) % FILTER_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64())], ["bit"])
 
+    # The functions count from 1.
+    bit = table.select("phrase").mapInArrow(run, "bit bigint").select((F.col("bit") + 1).alias("bit"))
+    rows = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map")).collect()
+    out = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in rows:
+        out[r["bucket"] - 1] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out.ravel()
 
-class _Shard:
-    """Documents being gathered: symbols, the word number of each, and where each stretch of a document begins."""
+
+class Shard:
+    """Documents being gathered: word numbers, and the document and the characters that each stands for."""
 
     def __init__(self):
         self.symbols: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
-        self.owners: list[tuple] = []
         self.size = 0
 
-    def add(self, document, text: str, symbols: np.ndarray, first_word: int) -> None:
+    def add(self, row: int, symbols: np.ndarray, spans: np.ndarray) -> None:
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] != OTHER) | (symbols[:-1] != OTHER)
         self.symbols.append(np.append(symbols[keep], OTHER))
-        self.places.append(np.append(np.flatnonzero(keep) + first_word, -1))
-        self.owners.append((document, text))
-        self.size += len(self.symbols[-1])
-
-    def hits(self, phrases: np.ndarray, lengths: np.ndarray, symbols: int) -> Iterator[tuple]:
-        """(document, text, phrase, first word) of every place where a phrase stands."""
-        index = FMIndex(np.append(np.concatenate(self.symbols), END), symbols)
-        low, high = index.search(phrases, lengths)
-        found = np.flatnonzero(low < high)
-        sizes = high[found] - low[found]
-        rows = np.repeat(high[found] - np.cumsum(sizes), sizes) + np.arange(int(sizes.sum()))
-        at = index.locate(rows)
-        begins = np.concatenate([[0], np.cumsum([len(s) for s in self.symbols])[:-1]])
-        owner = np.searchsorted(begins, at, "right") - 1
-        places = np.concatenate(self.places)
-        for p, o, w in zip(np.repeat(found, sizes).tolist(), owner.tolist(), places[at].tolist(), strict=True):
-            yield (*self.owners[o], p, w)
-
-
-def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = PHRASE_WORDS, shard: int = SHARD_SYMBOLS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+        place = np.empty((int(keep.sum()) + 1, 3), np.int32)
+        place[:, 0], place[:-1, 1:], place[-1, 1:] = row, spans[keep], -1
+        self.places.append(place)
+        self.size += len(place)
+
+    def index(self) -> tuple[np.ndarray, np.ndarray, FMIndex]:
+        """The words in order of their numbers (END and OTHER first), the places, and the index over their ranks."""
+        whole = np.concatenate(self.symbols)
+        vocabulary = np.unique(np.concatenate([whole, [END, OTHER]]))
+        return vocabulary, np.concatenate(self.places), FMIndex(np.append(np.searchsorted(vocabulary, whole), END), len(vocabulary))
+
+
+def shards(batches: Iterator[pa.RecordBatch], bits: np.ndarray, words: int, most: int) -> Iterator[tuple]:
+    """(keys, vocabulary, places, index) of each shard of the documents (key, text)."""
+    known: dict[str, int] = {}
+
+    def number(word: str) -> int:
+        n = word_number(word.lower())
+        bit = n % FILTER_BITS
+        n = n if bits[bit >> 3] >> (bit & 7) & 1 else OTHER
+        if len(known) >= KNOWN_WORDS:
+            known.clear()
+        known[word] = n
+        return n
+
+    shard, keys = Shard(), []
+    for b in batches:
+        for at, text in enumerate(b.column(1).to_pylist()):
+            found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
+            symbols = np.array([known.get(w) or number(w) for w, _, _ in found], np.int64)
+            spans = np.array([(s, e) for _, s, e in found], np.int32).reshape(-1, 2)
+            # A long document goes to several shards, which share what a phrase across the cut needs.
+            for first in range(0, len(symbols), most):
+                start = max(0, first - words + 1)
+                shard.add(len(keys), symbols[start : first + most], spans[start : first + most])
+                keys.append(b.column(0)[at])
+                if shard.size >= most:
+                    yield keys, *shard.index()
+                    shard, keys = Shard(), []
+    if shard.size:
+        yield keys, *shard.index()
+
+
+class Pass:
+    """The phrases of one pass: word numbers by row, their sizes, and the items that each gives away."""
+
+    def __init__(self, block: pa.Table, words: int):
+        coded = block["phrase"].combine_chunks().dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        self.sizes = np.array([len(t) // 8 for t in texts], np.int64)
+        self.phrases = np.zeros((len(texts), words), np.int64)
+        for i, t in enumerate(texts):
+            self.phrases[i, : self.sizes[i]] = np.frombuffer(t, np.int64)
+        of = np.asarray(coded.indices)
+        order = np.argsort(of, kind="stable")
+        self.items = block["item"].combine_chunks().take(pa.array(order))
+        self.begin = np.searchsorted(of[order], np.arange(len(texts) + 1))
+
+    def spans(self, keys: list, vocabulary: np.ndarray, places: np.ndarray, index: FMIndex) -> pa.RecordBatch:
+        """(key, item, start, stop): the characters of the shard's documents where an item's phrases stand, overlapping ones
+        of a document and item as one."""
+        live, numbers = np.arange(len(self.sizes)), np.zeros_like(self.phrases)
+        for back in range(1, self.phrases.shape[1] + 1):
+            # Phrases with a word that the shard lacks are left out, word by word from the last.
+            there = self.sizes[live] >= back
+            at = np.maximum(self.sizes[live] - back, 0)
+            word = self.phrases[live, at]
+            rank = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+            numbers[live[there], at[there]] = rank[there]
+            live = live[~there | (vocabulary[rank] == word)]
+        low, high = index.search(numbers[live], self.sizes[live])
+        size = high - low
+        rows = np.repeat(high - np.cumsum(size), size) + np.arange(int(size.sum()))
+        start = index.locate(rows)
+        phrase = np.repeat(live, size)
+        stop = start + self.sizes[phrase] - 1
+        owners = self.begin[phrase + 1] - self.begin[phrase]
+        item = np.repeat(self.begin[phrase + 1] - np.cumsum(owners), owners) + np.arange(int(owners.sum()))
+        coded = self.items.dictionary_encode()
+        at = np.column_stack([np.repeat(places[start, 0], owners), np.asarray(coded.indices)[item], np.repeat(places[start, 1], owners), np.repeat(places[stop, 2], owners)])
+        at = at[np.lexsort(at.T[::-1])]
+        # Within a document and item, in order of their starts, a span begins where all earlier ones have ended.
+        group = np.cumsum(np.append(True, (np.diff(at[:, :2], axis=0) != 0).any(1))) if len(at) else np.empty(0, np.int64)
+        reach = np.maximum.accumulate(at[:, 3] + group * (1 << 32)) if len(at) else group
+        fresh = np.append(True, at[1:, 2] + group[1:] * (1 << 32) > reach[:-1]) if len(at) else np.empty(0, bool)
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(at))[: len(first)] - 1
+        stops = (reach[last] - group[last] * (1 << 32)).astype(np.int32)
+        named = pa.array([k.as_py() for k in keys], keys[0].type).take(pa.array(at[first, 0]))
+        return pa.RecordBatch.from_arrays([named, coded.dictionary.take(pa.array(at[first, 1])), pa.array(at[first, 2].astype(np.int32)), pa.array(stops)], ["key", "item", "start", "stop"])
+
+
+def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = PHRASE_WORDS, shard: int = SHARD_SYMBOLS, pass_phrases: int = PASS_PHRASES) -> DataFrame:
     """(key, item, start, stop): the spans of characters of each document that give away each item.
 
     A document gives an item away if it holds `words` consecutive words of it (all, if it has fewer), in order and with nothing
     but other characters between. Words are runs of letters and digits, compared in lower case. Overlapping hits of one
-    document and item are one span. Null and empty texts hold nothing; items without words are given away by nothing.
-    The items are searched in passes of at most pass_bytes of text, each sent to all executors.
+    document and item are one span; rows of the same key count as one document. Null and empty texts hold nothing; items
+    without words are given away by nothing. Each pass sends at most about pass_phrases phrases to all executors.
     """
+    base = shared_dir(documents.sparkSession)
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
+    out_schema = f"key {kinds[0]}, item {kinds[1]}, start int, stop int"
     source = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.length("text") > 0)
-    out = None
-    for block in _passes(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")), pass_bytes):
-        one = source.mapInArrow(_searcher(block, words, shard), f"key {kinds[0]}, item {kinds[1]}, start int, stop int")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = source.select("key", F.lit(None).cast(kinds[1]).alias("item"), F.lit(0).alias("start"), F.lit(0).alias("stop")).where("false")
-    return out.toDF(key, item_key, "start", "stop")
-
-
-def _passes(items: DataFrame, most: int) -> Iterator[list[tuple]]:
-    block, size = [], 0
-    for row in items.where(F.length("text") > 0).orderBy("item", "text").toLocalIterator():
-        if block and size + len(row.text) > most:
-            yield block
-            block, size = [], 0
-        block.append((row.item, row.text))
-        size += len(row.text)
-    if block:
-        yield block
-
-
-def _searcher(block: list[tuple], words: int, most: int):
-    number, owners = phrases_of(block, words)
-    lengths = np.array([len(p) for p in owners], np.int64)
-    phrases = np.zeros((len(owners), words), np.int64)
-    for i, p in enumerate(owners):
-        phrases[i, : len(p)] = p
-    given = list(owners.values())
-
-    def spans(shard: _Shard) -> Iterator[tuple]:
-        by: dict[tuple, tuple[str, list]] = {}
-        for document, text, p, word in shard.hits(phrases, lengths, len(number) + 2):
-            for item in given[p]:
-                by.setdefault((document, item), (text, []))[1].append((word, word + int(lengths[p])))
-        ends: dict[str, list] = {}
-        for (document, item), (text, places) in by.items():
-            at = ends.get(text) or ends.setdefault(text, [m.span() for m in WORD.finditer(text)])
-            merged: list[list[int]] = []
-            for a, b in sorted(places):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            yield from ((document, item, at[a][0], at[b - 1][1]) for a, b in merged)
-
-    def batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "item", "start", "stop"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, kinds = _Shard(), None
-        item_kind = pa.array([i for i, _ in block]).type
-        for b in batches:
-            kinds = [b.schema.field(0).type, item_kind, pa.int32(), pa.int32()]
-            for document, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                symbols = np.array([number.get(w.lower(), OTHER) for w in WORD.findall(text)], np.int64)
-                # A long document goes to several shards, which share what a phrase across the cut needs.
-                for first in range(0, len(symbols), most):
-                    start = max(0, first - words + 1)
-                    shard.add(document, text, symbols[start : first + most], start)
-                    if shard.size >= most:
-                        yield batch(list(spans(shard)), kinds)
-                        shard = _Shard()
-        if shard.size:
-            yield batch(list(spans(shard)), kinds)
-
-    return run
-
-
-def leaked_items(spans: DataFrame, key: str, item_key: str) -> DataFrame:
-    """(key, item): which documents give away which items."""
-    return spans.select(key, item_key).distinct()
-
-
-def removal_spans(spans: DataFrame, key: str) -> DataFrame:
-    """(key, start, stop): what to cut from each document, overlapping spans of different items merged."""
-    pieces = F.array_sort(F.collect_set(F.struct("start", "stop")))
+    wanted = phrases(items.select(F.col(item_key).alias("item"), F.col(item_text).alias("text")), words)
+    wanted, seen = materialize(wanted, f"{base}/phrases", n=F.count("*"))
+    if not seen["n"]:
+        return source.select(F.col("key").alias(key), F.lit(None).cast(kinds[1]).alias(item_key), F.lit(0).alias("start"), F.lit(0).alias("stop")).where("false")
+    bits, passes = word_filter(wanted), -(-seen["n"] // pass_phrases)
+    block_of = F.pmod(F.xxhash64("item", "phrase"), F.lit(passes))
+
+    def searched(block: Pass):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from (block.spans(*one) for one in shards(batches, bits, words, shard))
+
+        return run
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, vocabulary, places, index in shards(batches, bits, words, shard):
+            column = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+            named = pa.array([k.as_py() for k in keys], keys[0].type)
+            yield pa.RecordBatch.from_arrays(
+                [column(named, named.type), column(vocabulary, pa.int64()), column(places.ravel(), pa.int32()), column(index.bwt, pa.int32()), column(np.flatnonzero(index.sampled), pa.int32()), column(index.samples, pa.int32())],
+                ["keys", "vocabulary", "places", "bwt", "marked", "samples"],
+            )
+
+    def again(block: Pass):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    part = lambda name, i=i, b=b: b.column(name)[i].values
+                    vocabulary, places, bwt, marked, samples = (part(c).to_numpy().astype(np.int64) for c in ("vocabulary", "places", "bwt", "marked", "samples"))
+                    yield block.spans(list(part("keys")), vocabulary, places.reshape(-1, 3), FMIndex.of(bwt, len(vocabulary), marked, samples))
+
+        return run
+
+    if passes == 1:
+        found = source.mapInArrow(searched(Pass(wanted.select("item", "phrase").toArrow(), words)), out_schema)
+    else:
+        index, _ = materialize(source.mapInArrow(indexed, f"keys array<{kinds[0]}>, vocabulary array<bigint>, places array<int>, bwt array<int>, marked array<int>, samples array<int>"), f"{base}/index")
+        for k in range(passes):
+            block = Pass(wanted.where(block_of == k).select("item", "phrase").toArrow(), words)
+            if len(block.sizes):
+                index.mapInArrow(again(block), out_schema).write.parquet(f"{base}/hits/pass={k}")
+        found = documents.sparkSession.read.schema(out_schema).parquet(f"{base}/hits/pass=*")
+    return found.groupBy("key", "item").agg(F.collect_set(F.struct("start", "stop")).alias("pieces")).select(F.col("key").alias(key), F.col("item").alias(item_key), F.inline(_merged()))
+
+
+def _merged():
+    """The spans of the column pieces in order, overlapping and touching ones as one."""
     last = lambda acc: F.element_at(acc, -1)
-    joined = F.aggregate(
-        "pieces",
+    return F.aggregate(
+        F.array_sort("pieces"),
         F.expr("CAST(array() AS array<struct<start:int,stop:int>>)"),
         lambda acc, p: F.when(F.size(acc) == 0, F.array(p))
         .when(
@@ -239,4 +329,13 @@ def removal_spans(spans: DataFrame, key: str) -> DataFrame:
         )
         .otherwise(F.concat(acc, F.array(p))),
     )
-    return spans.groupBy(key).agg(pieces.alias("pieces")).select(key, F.inline(joined))
+
+
+def leaked_items(spans: DataFrame, key: str, item_key: str) -> DataFrame:
+    """(key, item): which documents give away which items."""
+    return spans.select(key, item_key).distinct()
+
+
+def removal_spans(spans: DataFrame, key: str) -> DataFrame:
+    """(key, start, stop): what to cut from each document, overlapping spans of different items merged."""
+    return spans.groupBy(key).agg(F.collect_set(F.struct("start", "stop")).alias("pieces")).select(key, F.inline(_merged()))

@@ -22,10 +22,10 @@ def brute(docs, items):
     return out
 
 
-def found(spark, docs, items, shard=1 << 18):
+def found(spark, docs, items, shard=1 << 18, most=150):
     d = spark.createDataFrame([(*x, "clash", 1) for x in docs], "doc_id bigint, text string, key string, item int").repartition(3)
     i = spark.createDataFrame([(*x, "clash") for x in items], "item_id bigint, text string, key string")
-    return lk.leaks(d, "doc_id", "text", i, "item_id", "text", WORDS, shard, 150)
+    return lk.leaks(d, "doc_id", "text", i, "item_id", "text", WORDS, shard, most)
 
 
 def test_index_against_a_scan():
@@ -42,14 +42,20 @@ def test_index_against_a_scan():
     assert np.array_equal(index.wavelet.rank(index.bwt, np.arange(len(seq))), [(index.bwt[:i] == c).sum() for i, c in enumerate(index.bwt)])
 
 
-@pytest.mark.parametrize("shard", [8, 60, 1 << 18])
-def test_leaks_equal_a_scan(spark, shard):
+def test_filter_of_words(spark):
+    seen = np.array([0, 1, 32767, 32768, 32769, 65536, lk.FILTER_BITS - 1, lk.FILTER_BITS + 5, 3 * lk.FILTER_BITS + 70000], np.int64)
+    bits = np.unpackbits(lk.word_filter(spark.createDataFrame([(bytearray(seen[:5].tobytes()),), (bytearray(seen[5:].tobytes()),)], "phrase binary")), bitorder="little")
+    assert sorted(np.flatnonzero(bits)) == sorted(seen % lk.FILTER_BITS)
+
+
+@pytest.mark.parametrize(("shard", "most"), [(8, 150), (60, 150), (1 << 18, 150), (60, 30), (1 << 18, 30)])
+def test_leaks_equal_a_scan(spark, shard, most):
     r = random.Random(shard)
     words = ["Ab", "b", "c", "ü", "7", "dd", "é"]
     text = lambda n, sep=(" ", ", ", "\n", "_"): "".join(r.choice(words) + r.choice(sep) for _ in range(n))
     items = [(i, text(r.randint(0, 9))) for i in range(12)] + [(90, None), (91, "?!"), (92, "b c"), (93, "b c")]
     docs = [(i, text(r.randint(0, 60), (" ", "x "))) for i in range(40)] + [(50, None), (51, ""), (52, text(400)), (53, "B-C"), (53, "b, c")]
-    spans = found(spark, docs, items, shard)
+    spans = found(spark, docs, items, shard, most)
     assert {tuple(x) for x in lk.leaked_items(spans, "doc_id", "item_id").collect()} == brute(docs, items)
     texts, by = dict(docs), dict(items)
     for x in spans.collect():
