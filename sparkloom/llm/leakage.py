@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ FILTER_BITS = 1 << 24
 #: Different words whose numbers a task keeps at hand.
 KNOWN_WORDS = 1 << 20
 END, OTHER = 0, 1
+#: Columns of a written index, one row for each shard.
+INDEX = ["keys", "texts", "offsets", "vocabulary", "places", "bwt", "marked", "samples"]
 
 
 class WaveletMatrix:
@@ -157,31 +160,33 @@ def word_filter(table: DataFrame) -> np.ndarray:
 
 
 class Shard:
-    """Documents being gathered: word numbers, and the document and the characters that each stands for."""
+    """Documents being gathered, or stretches of long ones: their keys, texts and first character; word numbers, and the row
+    and the word that each stands for."""
 
     def __init__(self):
+        self.rows: list[tuple] = []
         self.symbols: list[np.ndarray] = []
         self.places: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, row: int, symbols: np.ndarray, spans: np.ndarray) -> None:
+    def add(self, key, text: str, offset: int, symbols: np.ndarray) -> None:
         keep = np.ones(len(symbols), bool)
         keep[1:] = (symbols[1:] != OTHER) | (symbols[:-1] != OTHER)
         self.symbols.append(np.append(symbols[keep], OTHER))
-        place = np.empty((int(keep.sum()) + 1, 3), np.int32)
-        place[:, 0], place[:-1, 1:], place[-1, 1:] = row, spans[keep], -1
-        self.places.append(place)
-        self.size += len(place)
+        words = np.append(np.flatnonzero(keep), -1)
+        self.places.append(np.column_stack([np.full(len(words), len(self.rows)), words]).astype(np.int32))
+        self.rows.append((key, text, offset))
+        self.size += len(words)
 
-    def index(self) -> tuple[np.ndarray, np.ndarray, FMIndex]:
-        """The words in order of their numbers (END and OTHER first), the places, and the index over their ranks."""
+    def index(self) -> tuple[list, np.ndarray, np.ndarray, FMIndex]:
+        """The rows, the word numbers in order (END and OTHER first), the places, and the index over the numbers' ranks."""
         whole = np.concatenate(self.symbols)
         vocabulary = np.unique(np.concatenate([whole, [END, OTHER]]))
-        return vocabulary, np.concatenate(self.places), FMIndex(np.append(np.searchsorted(vocabulary, whole), END), len(vocabulary))
+        return self.rows, vocabulary, np.concatenate(self.places), FMIndex(np.append(np.searchsorted(vocabulary, whole), END), len(vocabulary))
 
 
 def shards(batches: Iterator[pa.RecordBatch], bits: np.ndarray, words: int, most: int) -> Iterator[tuple]:
-    """(keys, vocabulary, places, index) of each shard of the documents (key, text)."""
+    """(rows, vocabulary, places, index) of each shard of the documents (key, text)."""
     known: dict[str, int] = {}
 
     def number(word: str) -> int:
@@ -193,22 +198,21 @@ def shards(batches: Iterator[pa.RecordBatch], bits: np.ndarray, words: int, most
         known[word] = n
         return n
 
-    shard, keys = Shard(), []
+    shard = Shard()
     for b in batches:
-        for at, text in enumerate(b.column(1).to_pylist()):
-            found = [(m.group(), m.start(), m.end()) for m in WORD.finditer(text)]
-            symbols = np.array([known.get(w) or number(w) for w, _, _ in found], np.int64)
-            spans = np.array([(s, e) for _, s, e in found], np.int32).reshape(-1, 2)
+        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            symbols = np.array([known.get(w) or number(w) for w in WORD.findall(text)], np.int64)
             # A long document goes to several shards, which share what a phrase across the cut needs.
+            at = [m.span() for m in WORD.finditer(text)] if len(symbols) > most else []
             for first in range(0, len(symbols), most):
-                start = max(0, first - words + 1)
-                shard.add(len(keys), symbols[start : first + most], spans[start : first + most])
-                keys.append(b.column(0)[at])
+                start, stop = max(0, first - words + 1), min(first + most, len(symbols))
+                offset, end = (at[start][0], at[stop - 1][1]) if at else (0, len(text))
+                shard.add(key, text[offset:end], offset, symbols[start:stop])
                 if shard.size >= most:
-                    yield keys, *shard.index()
-                    shard, keys = Shard(), []
+                    yield shard.index()
+                    shard = Shard()
     if shard.size:
-        yield keys, *shard.index()
+        yield shard.index()
 
 
 class Pass:
@@ -223,10 +227,11 @@ class Pass:
             self.phrases[i, : self.sizes[i]] = np.frombuffer(t, np.int64)
         of = np.asarray(coded.indices)
         order = np.argsort(of, kind="stable")
-        self.items = block["item"].combine_chunks().take(pa.array(order))
+        coded = block["item"].combine_chunks().dictionary_encode()
+        self.items, self.of = coded.dictionary, np.asarray(coded.indices)[order]
         self.begin = np.searchsorted(of[order], np.arange(len(texts) + 1))
 
-    def spans(self, keys: list, vocabulary: np.ndarray, places: np.ndarray, index: FMIndex) -> pa.RecordBatch:
+    def spans(self, rows: list[tuple], vocabulary: np.ndarray, places: np.ndarray, index: FMIndex, key_kind: pa.DataType) -> pa.RecordBatch:
         """(key, item, start, stop): the characters of the shard's documents where an item's phrases stand, overlapping ones
         of a document and item as one."""
         live, numbers = np.arange(len(self.sizes)), np.zeros_like(self.phrases)
@@ -240,24 +245,24 @@ class Pass:
             live = live[~there | (vocabulary[rank] == word)]
         low, high = index.search(numbers[live], self.sizes[live])
         size = high - low
-        rows = np.repeat(high - np.cumsum(size), size) + np.arange(int(size.sum()))
-        start = index.locate(rows)
-        phrase = np.repeat(live, size)
-        stop = start + self.sizes[phrase] - 1
+        found = np.repeat(high - np.cumsum(size), size) + np.arange(int(size.sum()))
+        where, phrase = places[index.locate(found)], np.repeat(live, size)
         owners = self.begin[phrase + 1] - self.begin[phrase]
-        item = np.repeat(self.begin[phrase + 1] - np.cumsum(owners), owners) + np.arange(int(owners.sum()))
-        coded = self.items.dictionary_encode()
-        at = np.column_stack([np.repeat(places[start, 0], owners), np.asarray(coded.indices)[item], np.repeat(places[start, 1], owners), np.repeat(places[stop, 2], owners)])
-        at = at[np.lexsort(at.T[::-1])]
-        # Within a document and item, in order of their starts, a span begins where all earlier ones have ended.
-        group = np.cumsum(np.append(True, (np.diff(at[:, :2], axis=0) != 0).any(1))) if len(at) else np.empty(0, np.int64)
-        reach = np.maximum.accumulate(at[:, 3] + group * (1 << 32)) if len(at) else group
-        fresh = np.append(True, at[1:, 2] + group[1:] * (1 << 32) > reach[:-1]) if len(at) else np.empty(0, bool)
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], len(at))[: len(first)] - 1
-        stops = (reach[last] - group[last] * (1 << 32)).astype(np.int32)
-        named = pa.array([k.as_py() for k in keys], keys[0].type).take(pa.array(at[first, 0]))
-        return pa.RecordBatch.from_arrays([named, coded.dictionary.take(pa.array(at[first, 1])), pa.array(at[first, 2].astype(np.int32)), pa.array(stops)], ["key", "item", "start", "stop"])
+        item = self.of[np.repeat(self.begin[phrase + 1] - np.cumsum(owners), owners) + np.arange(int(owners.sum()))]
+        first = np.repeat(where[:, 1], owners).astype(np.int64)
+        hits = np.column_stack([np.repeat(where[:, 0], owners), item, first, first + np.repeat(self.sizes[phrase], owners)])
+        out, at, of = [], [], -1
+        for row, i, a, b in hits[np.lexsort(hits.T[::-1])].tolist():
+            if row != of:
+                of, at = row, [m.span() for m in WORD.finditer(rows[row][1])]
+            key, _, offset = rows[row]
+            start, stop = offset + at[a][0], offset + at[b - 1][1]
+            if out and out[-1][:2] == [row, i] and a <= out[-1][2]:
+                out[-1][2], out[-1][5] = max(b, out[-1][2]), max(stop, out[-1][5])
+            else:
+                out.append([row, i, b, key, start, stop])
+        column = lambda k, kind: pa.array([x[k] for x in out], kind)
+        return pa.RecordBatch.from_arrays([column(3, key_kind), self.items.take(column(1, pa.int64())), column(4, pa.int32()), column(5, pa.int32())], ["key", "item", "start", "stop"])
 
 
 def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, words: int = PHRASE_WORDS, shard: int = SHARD_SYMBOLS, pass_phrases: int = PASS_PHRASES) -> DataFrame:
@@ -281,33 +286,35 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
     def searched(block: Pass):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from (block.spans(*one) for one in shards(batches, bits, words, shard))
+            for head in batches:
+                kind = head.schema.field(0).type
+                yield from (block.spans(*one, kind) for one in shards(chain([head], batches), bits, words, shard))
 
         return run
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, vocabulary, places, index in shards(batches, bits, words, shard):
-            column = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
-            named = pa.array([k.as_py() for k in keys], keys[0].type)
-            yield pa.RecordBatch.from_arrays(
-                [column(named, named.type), column(vocabulary, pa.int64()), column(places.ravel(), pa.int32()), column(index.bwt, pa.int32()), column(np.flatnonzero(index.sampled), pa.int32()), column(index.samples, pa.int32())],
-                ["keys", "vocabulary", "places", "bwt", "marked", "samples"],
-            )
+        column = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+        for head in batches:
+            for rows, vocabulary, places, index in shards(chain([head], batches), bits, words, shard):
+                parts = [*zip(*rows, strict=True)]
+                numbers = [column(x, pa.int32()) for x in (places.ravel(), index.bwt, np.flatnonzero(index.sampled), index.samples)]
+                yield pa.RecordBatch.from_arrays([column(parts[0], head.schema.field(0).type), column(parts[1], pa.string()), column(parts[2], pa.int32()), column(vocabulary, pa.int64()), *numbers], INDEX)
 
     def again(block: Pass):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(b.num_rows):
                     part = lambda name, i=i, b=b: b.column(name)[i].values
-                    vocabulary, places, bwt, marked, samples = (part(c).to_numpy().astype(np.int64) for c in ("vocabulary", "places", "bwt", "marked", "samples"))
-                    yield block.spans(list(part("keys")), vocabulary, places.reshape(-1, 3), FMIndex.of(bwt, len(vocabulary), marked, samples))
+                    vocabulary, places, bwt, marked, samples = (part(c).to_numpy().astype(np.int64) for c in INDEX[3:])
+                    rows = [*zip(*(part(c).to_pylist() for c in INDEX[:3]), strict=True)]
+                    yield block.spans(rows, vocabulary, places.reshape(-1, 2), FMIndex.of(bwt, len(vocabulary), marked, samples), part("keys").type)
 
         return run
 
     if passes == 1:
         found = source.mapInArrow(searched(Pass(wanted.select("item", "phrase").toArrow(), words)), out_schema)
     else:
-        index, _ = materialize(source.mapInArrow(indexed, f"keys array<{kinds[0]}>, vocabulary array<bigint>, places array<int>, bwt array<int>, marked array<int>, samples array<int>"), f"{base}/index")
+        index, _ = materialize(source.mapInArrow(indexed, f"keys array<{kinds[0]}>, texts array<string>, offsets array<int>, vocabulary array<bigint>, places array<int>, bwt array<int>, marked array<int>, samples array<int>"), f"{base}/index")
         for k in range(passes):
             block = Pass(wanted.where(block_of == k).select("item", "phrase").toArrow(), words)
             if len(block.sizes):

@@ -23,8 +23,8 @@ def brute(docs, items):
 
 
 def found(spark, docs, items, shard=1 << 18, most=150):
-    d = spark.createDataFrame([(*x, "clash", 1) for x in docs], "doc_id bigint, text string, key string, item int").repartition(3)
-    i = spark.createDataFrame([(*x, "clash") for x in items], "item_id bigint, text string, key string")
+    d = spark.createDataFrame([(*x, "clash", 1) for x in docs], "doc_id int, text string, key string, item int").repartition(3)
+    i = spark.createDataFrame([(*x, "clash") for x in items], "item_id int, text string, key string")
     return lk.leaks(d, "doc_id", "text", i, "item_id", "text", WORDS, shard, most)
 
 
