@@ -142,13 +142,12 @@ def with_text(records: DataFrame, content: Column | None = None) -> DataFrame:
     """
     content = F.col("message.content") if content is None else content
     parsed = F.when(is_blocks(content), _parse_blocks(F.when(is_blocks(content), content)))
-    return (
-        records.withColumn("_parsed", parsed)
-        .withColumn("record_text", F.when(is_blocks(content), F.col("_parsed.text")).otherwise(content))
-        .withColumn("damaged", F.coalesce(F.col("_parsed.damaged"), F.lit(False)))
-        .withColumn("has_tool_use", F.coalesce(F.col("_parsed.tool_use"), F.lit(False)))
-        .drop("_parsed")
-    )
+    text = F.when(is_blocks(content), F.col("_parsed.text")).otherwise(content)
+    flag = lambda name: F.coalesce(F.col(f"_parsed.{name}"), F.lit(False))
+    # The generator keeps Catalyst from pushing filters on the text below it, which would parse every list again.
+    found = F.struct(text.alias("record_text"), flag("damaged").alias("damaged"), flag("tool_use").alias("has_tool_use"))
+    kept = [c for c in records.columns if c not in ("record_text", "damaged", "has_tool_use")]
+    return records.withColumn("_parsed", parsed).select(*kept, F.inline(F.array(found)))
 
 
 @F.arrow_udf(T.StructType().add("text", "string").add("damaged", "boolean").add("tool_use", "boolean"))

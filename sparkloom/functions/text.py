@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -121,8 +125,34 @@ def any_of(patterns: tuple[str, ...]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def met(text: Column, patterns: tuple[str, ...]) -> Column:
+    """Whether any of the patterns is met in a text, as rlike(any_of(patterns)) says.
+
+    Patterns that start at the beginning are tried there alone, and those that are plain letters, some of them optional, are
+    looked for as such: a pattern of many branches is tried at every place of a text.
+    """
+    first = [p[1:] for p in patterns if p.startswith("^")]
+    plain = {p: spelled(p) for p in patterns if not p.startswith("^")}
+    tests = [text.rlike(f"^(?:{any_of(tuple(first))})")] if first else []
+    tests += [text.contains(x) for p in plain for x in plain[p] or ()]
+    rest = tuple(p for p in plain if not plain[p])
+    return reduce(or_, tests + ([text.rlike(any_of(rest))] if rest else []))
+
+
+def spelled(pattern: str) -> list[str] | None:
+    """What a pattern of letters stands for, some of them optional (`let'?s`); None if it is another one."""
+    parts = re.findall(r"([^?])(\??)", pattern)
+    if "".join(a + b for a, b in parts) != pattern or re.search(r"[\\^$.*+()\[\]{}|]", pattern):
+        return None
+    out = [""]
+    for letter, optional in parts:
+        out = [x + letter for x in out] + (out if optional else [])
+    return out
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # A run of white space is only tried from its beginning.
+    return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def held(value: Column, use) -> Column:
@@ -142,18 +172,18 @@ def filter_reason(content: Column, has_tool_use: Column | None = None) -> Column
 
 def _reason(low: Column, tool: Column) -> Column:
     size = F.char_length(low)
-    preamble = low.rlike(any_of(PREAMBLES))
+    preamble = met(low, PREAMBLES)
     return (
         F.when(size == 0, "empty")
         .when(size < 20, "too_short")
         .when(low.isin(*GREETINGS), "greeting")
         .when(low.isin(*ACKNOWLEDGEMENTS), "acknowledgment")
         .when((size < 50) & F.substring(low, 1, 6).rlike("^(?:" + "|".join(s.replace(".", r"\.") for s in GREETING_STARTS) + ")"), "greeting_response")
-        .when(low.rlike(any_of(NARRATION)), "tool_narration")
-        .when(low.rlike(any_of(SYSTEM)), "system_message")
-        .when(low.rlike(any_of(WARMUPS)), "warmup")
-        .when((size < 50) & low.rlike(any_of(INSTRUCTIONS)), "short_instruction")
-        .when((size < 80) & preamble & ~low.rlike(any_of(SUBSTANTIVE)), "preamble")
+        .when(met(low, NARRATION), "tool_narration")
+        .when(met(low, SYSTEM), "system_message")
+        .when(met(low, WARMUPS), "warmup")
+        .when((size < 50) & met(low, INSTRUCTIONS), "short_instruction")
+        .when((size < 80) & preamble & ~met(low, SUBSTANTIVE), "preamble")
         .when(tool & (size < 100) & preamble, "tool_preamble")
         .when(tool & (size < 60), "short_tool_intro")
     )
@@ -169,7 +199,7 @@ def classify_intent(content: Column) -> Column:
     def first(low: Column) -> Column:
         out = F
         for intent, patterns in INTENTS.items():
-            out = out.when(low.rlike(any_of(patterns)), intent)
+            out = out.when(met(low, patterns), intent)
         return out.otherwise("context")
 
     return held(strip(F.lower(F.coalesce(content, F.lit("")))), first)
@@ -177,31 +207,32 @@ def classify_intent(content: Column) -> Column:
 
 def assess_confidence(content: Column, intent: Column) -> Column:
     """Confidence of a statement, 0.1 to 1, by its intent and its tentative and firm markers."""
-    low, base = F.lower(F.coalesce(content, F.lit(""))), None
+    base = F
     for name, value in CONFIDENCE.items():
-        base = F.when(intent == name, value) if base is None else base.when(intent == name, value)
-    score = base.otherwise(0.5) - F.when(low.rlike(words_of(TENTATIVE)), 0.15).otherwise(0.0) + F.when(low.rlike(words_of(FIRM)), 0.1).otherwise(0.0)
+        base = base.when(intent == name, value)
+    markers = held(F.lower(F.coalesce(content, F.lit(""))), lambda low: F.when(met(low, FIRM), 0.1).otherwise(0.0) - F.when(met(low, TENTATIVE), 0.15).otherwise(0.0))
+    score = base.otherwise(0.5) + markers
     return F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), score)), 2)
 
 
 def topic_shift(content: Column) -> Column:
-    return F.lower(content).rlike(any_of(SHIFTS))
+    return held(F.lower(content), lambda low: met(low, SHIFTS))
 
 
 def subtopic(content: Column) -> Column:
-    return F.lower(content).rlike(any_of(SUBTOPICS))
+    return held(F.lower(content), lambda low: met(low, SUBTOPICS))
 
 
 def back_to_parent(content: Column) -> Column:
-    return F.lower(content).rlike(any_of(RETURNS))
+    return held(F.lower(content), lambda low: met(low, RETURNS))
 
 
 def supersedes(content: Column) -> Column:
-    return F.lower(content).rlike(words_of(SUPERSEDES))
+    return held(F.lower(content), lambda low: met(low, SUPERSEDES))
 
 
 def builds_on(content: Column) -> Column:
-    return F.lower(content).rlike(words_of(BUILDS_ON))
+    return held(F.lower(content), lambda low: met(low, BUILDS_ON))
 
 
 def clean_topic_name(name: Column) -> Column:
@@ -227,11 +258,11 @@ def canonical_topic(name: Column) -> Column:
 
 def bad_topic_name(name: Column) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
-    return (F.char_length(low) < 5) | low.rlike(any_of(BAD_NAMES))
+    return (F.char_length(low) < 5) | met(low, BAD_NAMES)
 
 
 def review_topic_name(name: Column) -> Column:
-    return F.lower(F.coalesce(name, F.lit(""))).rlike(any_of(REVIEW_NAMES)) | F.coalesce(name, F.lit("")).rlike(any_of(REVIEW_NAMES_CASED))
+    return held(F.lower(F.coalesce(name, F.lit(""))), lambda low: met(low, REVIEW_NAMES)) | F.coalesce(name, F.lit("")).rlike(any_of(REVIEW_NAMES_CASED))
 
 
 def significant_words(content: Column) -> Column:

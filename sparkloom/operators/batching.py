@@ -11,26 +11,30 @@ from .ordering import lay_out, running
 
 
 def gap_batches(messages: DataFrame, seconds: float = 5.0, most: int = 100) -> DataFrame:
-    """(source_file, line_num, rec_id, batch_line, place, content): messages with the first line of their batch.
+    """(source_file, line_num, rec_id, batch_line, place, tokens): messages with the first line of their batch and their size.
 
     In each file, by line number: a pause longer than so many seconds starts a batch, and so does every message after `most`
-    others. Time running backwards is no pause. Messages without a readable time or a file are left out.
+    others. Time running backwards is no pause, and neither is a message without a readable time: the next one is held against
+    the last time that was read. Messages without a file are one group.
     """
     by, order = ["source_file"], ["line_num", "rec_id"]
-    rows = messages.where(F.col("source_file").isNotNull() & F.col("sent_at").isNotNull()).select("source_file", "line_num", "rec_id", F.unix_micros("sent_at").alias("at"), "content")
+    rows = messages.select("source_file", "line_num", "rec_id", F.unix_micros("sent_at").alias("at"), estimate_tokens(F.col("content")).alias("tokens"))
     laid = lay_out(rows, by, order)
-    placed = running(laid, by, order, sums={"place": F.lit(1)}, before={"earlier": F.col("at")})
-    starts = F.col("earlier").isNull() | (F.col("at") - F.col("earlier") > seconds * 1_000_000)
-    marked = running(placed, by, order, lasts={"run": F.when(starts, F.col("place"))})
+    placed = running(laid, by, order, sums={"place": F.lit(1)}, lasts={"read": F.col("at")})
+    timed = running(placed, by, order, before={"earlier": F.col("read")})
+    starts = (F.col("place") == 1) | (F.col("at") - F.col("earlier") > seconds * 1_000_000)
+    marked = running(timed, by, order, lasts={"run": F.when(starts, F.col("place"))})
     batch = F.col("run") + F.floor((F.col("place") - F.col("run")) / most) * most
-    found = marked.select("source_file", "line_num", "rec_id", "place", batch.alias("batch"), "content")
-    first = found.where("place = batch").select("source_file", "batch", F.col("line_num").alias("batch_line"))
-    return found.join(first, ["source_file", "batch"]).select("source_file", "line_num", "rec_id", "batch_line", "place", "content")
+    found = marked.select("source_file", "line_num", "rec_id", "place", batch.alias("batch"), "tokens")
+    first = found.where("place = batch").select(F.col("source_file").alias("of"), F.col("batch").alias("begun"), F.col("line_num").alias("batch_line"))
+    joined = found.join(first, F.col("source_file").eqNullSafe(F.col("of")) & (F.col("batch") == F.col("begun")))
+    return joined.select("source_file", "line_num", "rec_id", "batch_line", "place", "tokens")
 
 
 def batch_sizes(batches: DataFrame) -> DataFrame:
-    """(source_file, batch_line, messages, tokens) of each batch."""
-    return batches.groupBy("source_file", "batch_line").agg(F.count("*").alias("messages"), F.sum(estimate_tokens(F.col("content"))).alias("tokens"))
+    """(source_file, batch_line, messages, tokens) of each batch; messages without a file belong to no file's batches."""
+    named = batches.where(F.col("source_file").isNotNull())
+    return named.groupBy("source_file", "batch_line").agg(F.count("*").alias("messages"), F.sum("tokens").alias("tokens"))
 
 
 def token_packs(sizes: DataFrame, most: int = 6000) -> DataFrame:

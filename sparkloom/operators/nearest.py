@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles, norm
 from ..session import materialize, shared_dir
 
-#: Queries of one block: what is sent to all executors at once (2 MB at 64 numbers).
-BLOCK = 4096
+#: Queries of one pass: what is sent to all executors at once (32 MB at 64 numbers).
+PASS = 65_536
+#: Queries and rows whose scores a task holds at once (64 MB).
+BLOCK, SLICE = 4096, 2048
 
 
 def usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -23,17 +25,35 @@ def usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull() & (F.size(vector) == dim) & (size > 0) & (size < float("inf"))).select(F.col(key).alias("id"), v.alias("v"))
 
 
-def _blocks(queries: DataFrame, dim: int, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, block = [], []
-    kept, _ = materialize(queries, f"{shared_dir(queries.sparkSession)}/queries")
-    for row in kept.orderBy("id").toLocalIterator(prefetchPartitions=True):
-        ids.append(row.id)
-        block.append(row.v)
-        if len(ids) == size:
-            yield np.array(ids), np.array(block)
-            ids, block = [], []
-    if ids:
-        yield np.array(ids), np.array(block).reshape(-1, dim)
+def _in_passes(queries: DataFrame, rows: DataFrame, dim: int, make: Callable, schema: str, most: int = PASS) -> tuple[DataFrame, int]:
+    """What make(ids, vectors), a function for mapInArrow, finds in rows, for passes of about `most` queries by hash of their
+    ids, and the number of passes. With more than one, each pass's result is written before the next pass's queries are
+    read, so the driver and the executors hold one pass at a time."""
+    spark = rows.sparkSession
+    base = shared_dir(spark)
+    kept, seen = materialize(queries.select("id", "v"), f"{base}/queries", n=F.count("*"))
+    passes = -(-seen["n"] // most)
+    if not passes:
+        return spark.createDataFrame([], schema), 0
+
+    def found(asked: DataFrame) -> DataFrame:
+        block = asked.toArrow().combine_chunks().sort_by("id")
+        names = block["id"].to_numpy()
+        return rows.mapInArrow(make(names, block["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)), schema)
+
+    if passes == 1:
+        return found(kept), 1
+    for k in range(passes):
+        found(kept.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == k)).write.parquet(f"{base}/pass={k}")
+    return spark.read.schema(schema).parquet(f"{base}/pass=*"), passes
+
+
+def _slices(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of at most SLICE rows each."""
+    for b in batches:
+        for s in range(0, b.num_rows, SLICE):
+            part = b.slice(s, SLICE)
+            yield part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim)
 
 
 def _scores(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,42 +80,39 @@ def _best(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(short, order, 1)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str = "cosine", with_self: bool = False, block_size: int = BLOCK) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str = "cosine", with_self: bool = False, most: int = PASS) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of each query, by score, then id; both inputs are (id, v).
 
     score is the cosine or the distance, to nine places. Without with_self a row isn't its query's neighbour under the
-    same id. Each task keeps its k best of each query; only those are shuffled. Queries go out in blocks of block_size.
+    same id. Each task keeps its k best of each query; only those are shuffled. Queries go out in passes of `most`.
     """
     sign = -1.0 if metric == "cosine" else 1.0
-    out = None
-    for names, block in _blocks(queries, dim, block_size):
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, block=block) -> Iterator[pa.RecordBatch]:
-            best = None
-            for b in batches:
-                ids = b.column(0).to_numpy()
-                if not len(ids):
-                    continue
-                score = _scores(metric, block, b.column(1).flatten().to_numpy().reshape(-1, dim))
-                if not with_self:
-                    score[names[:, None] == ids[None]] = np.inf
-                at = _best(score, ids, k)
-                mine = np.take_along_axis(score, at, 1), ids[at]
-                if best is not None:
-                    score, ids = np.hstack([best[0], mine[0]]), np.hstack([best[1], mine[1]])
-                    order = np.lexsort((ids, score), axis=1)[:, :k]
-                    mine = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-                best = mine
-            if best is not None:
-                there = np.isfinite(best[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(names, there.sum(1)), pa.int64()), pa.array(best[1][there], pa.int64()), pa.array(best[0][there], pa.float64())], ["query_id", "id", "near"]
-                )
-
-        one = rows.mapInArrow(run, "query_id bigint, id bigint, near double")
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        out = rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("near")).where("false")
+
+    def make(names: np.ndarray, vectors: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list = [None] * -(-len(names) // BLOCK)
+            for ids, v in _slices(batches, dim):
+                for i in range(len(best)):
+                    mine = names[i * BLOCK : (i + 1) * BLOCK]
+                    score = _scores(metric, vectors[i * BLOCK : (i + 1) * BLOCK], v)
+                    if not with_self:
+                        score[mine[:, None] == ids[None]] = np.inf
+                    at = _best(score, ids, k)
+                    near, who = np.take_along_axis(score, at, 1), ids[at]
+                    if best[i] is not None:
+                        score, both = np.hstack([best[i][0], near]), np.hstack([best[i][1], who])
+                        order = np.lexsort((both, score), axis=1)[:, :k]
+                        near, who = np.take_along_axis(score, order, 1), np.take_along_axis(both, order, 1)
+                    best[i] = near, who
+            for i, one in enumerate(best):
+                if one is not None:
+                    there = np.isfinite(one[0])
+                    asked = np.repeat(names[i * BLOCK : (i + 1) * BLOCK], there.sum(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(one[1][there], pa.int64()), pa.array(one[0][there], pa.float64())], ["query_id", "id", "near"])
+
+        return run
+
+    out, _ = _in_passes(queries, rows, dim, make, "query_id bigint, id bigint, near double", most)
     w = Window.partitionBy("query_id").orderBy("near", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", (F.col("near") * sign).alias("score"))
 
@@ -104,7 +121,7 @@ def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim
     """(query_id, rank, id, score): the k nearest rows of each query by cosine, then id, without the pairs (query_id, id).
 
     The search looks as many neighbours further as the query has pairs, so that k are left after they are taken out: `spare`
-    further for most, the next power of two for queries with more pairs, in blocks that are smaller as the lists are longer.
+    further for most, the next power of two for queries with more pairs, in passes that are smaller as the lists are longer.
     """
     pairs = pairs.distinct()
     own = pairs.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > spare)
@@ -114,7 +131,7 @@ def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim
     for (digits,) in many.select("digits").distinct().orderBy("digits").collect() if seen["n"] else []:
         further = k + 2**digits
         asked = queries.join(many.where(F.col("digits") == digits).select("id"), "id", "left_semi")
-        wide = wide.unionByName(knn(asked, rows, further, dim, block_size=max(1, BLOCK * (k + spare) // further)))
+        wide = wide.unionByName(knn(asked, rows, further, dim, most=max(1, PASS * (k + spare) // further)))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     left = wide.drop("rank").join(pairs, ["query_id", "id"], "left_anti").withColumn("rank", F.row_number().over(w))
     return left.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
@@ -123,26 +140,26 @@ def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim
 def closest_points(rows: DataFrame, points: DataFrame, k: int, dim: int = 64) -> DataFrame:
     """(id, rank, point_id, score): the k points of greatest cosine for each row, ties by point id; inputs are (id, v).
 
-    Points go out in blocks of BLOCK; with one block nothing is shuffled.
+    Points go out in passes of PASS; with one pass nothing is shuffled.
     """
-    out, blocks = None, 0
-    for names, block in _blocks(points, dim):
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, block=block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                score = _scores("cosine", b.column(1).flatten().to_numpy().reshape(-1, dim), block)
-                at = _best(score, names, k)
-                n = at.shape[1]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(np.repeat(np.arange(len(score)), n))), pa.array(np.tile(np.arange(1, n + 1), len(score)), pa.int32()), pa.array(names[at].ravel(), pa.int64()), pa.array(-np.take_along_axis(score, at, 1).ravel())],
-                    ["id", "rank", "point_id", "score"],
-                )
-
-        one = rows.mapInArrow(run, "id bigint, rank int, point_id bigint, score double")
-        out, blocks = one if out is None else out.unionByName(one), blocks + 1
-    if out is None:
-        return rows.select("id", F.lit(1).alias("rank"), F.col("id").alias("point_id"), F.lit(0.0).alias("score")).where("false")
-    if blocks == 1:
+
+    def make(names: np.ndarray, vectors: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, v in _slices(batches, dim):
+                near, who = np.empty((len(ids), 0)), np.empty((len(ids), 0), np.int64)
+                for i in range(0, len(names), BLOCK):
+                    score = _scores("cosine", v, vectors[i : i + BLOCK])
+                    at = _best(score, names[i : i + BLOCK], k)
+                    near, who = np.hstack([near, np.take_along_axis(score, at, 1)]), np.hstack([who, names[i : i + BLOCK][at]])
+                order = np.lexsort((who, near), axis=1)[:, :k]
+                near, who = np.take_along_axis(near, order, 1), np.take_along_axis(who, order, 1)
+                n = near.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(np.tile(np.arange(1, n + 1), len(ids)), pa.int32()), pa.array(who.ravel(), pa.int64()), pa.array(-near.ravel())], ["id", "rank", "point_id", "score"])
+
+        return run
+
+    out, passes = _in_passes(points, rows, dim, make, "id bigint, rank int, point_id bigint, score double")
+    if passes <= 1:
         return out
     w = Window.partitionBy("id").orderBy(F.desc("score"), "point_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -150,16 +167,16 @@ def closest_points(rows: DataFrame, points: DataFrame, k: int, dim: int = 64) ->
 
 def within(queries: DataFrame, rows: DataFrame, least: float, dim: int = 64) -> DataFrame:
     """(query_id, id, score): all rows whose cosine with a query is at least this, without the query's own id. No shuffle."""
-    out = None
-    for names, block in _blocks(queries, dim):
-
-        def run(batches: Iterator[pa.RecordBatch], names=names, block=block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0).to_numpy()
-                score = -_scores("cosine", block, b.column(1).flatten().to_numpy().reshape(-1, dim))
-                q, r = np.nonzero((score >= least) & (names[:, None] != ids[None]))
-                yield pa.RecordBatch.from_arrays([pa.array(names[q], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score[q, r], pa.float64())], ["query_id", "id", "score"])
-
-        one = rows.mapInArrow(run, "query_id bigint, id bigint, score double")
-        out = one if out is None else out.unionByName(one)
-    return rows.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score")).where("false") if out is None else out
+
+    def make(names: np.ndarray, vectors: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, v in _slices(batches, dim):
+                for i in range(0, len(names), BLOCK):
+                    mine = names[i : i + BLOCK]
+                    score = -_scores("cosine", vectors[i : i + BLOCK], v)
+                    q, r = np.nonzero((score >= least) & (mine[:, None] != ids[None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(mine[q], pa.int64()), pa.array(ids[r], pa.int64()), pa.array(score[q, r], pa.float64())], ["query_id", "id", "score"])
+
+        return run
+
+    return _in_passes(queries, rows, dim, make, "query_id bigint, id bigint, score double")[0]

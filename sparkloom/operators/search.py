@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.observation import Observation
 
 from ..functions.text import tokens
+from ..session import materialize, shared_dir
 
 #: Parameters of BM25 and of reciprocal rank fusion.
 K1, B, LEAST_IDF, RRF = 1.2, 0.75, 1e-6, 60
-#: Query words up to this many rows are broadcast (some 40 bytes each); more are joined by shuffle.
+#: Words of queries, each counted for every query, up to this many are broadcast (some 60 bytes each); more are joined by shuffle.
 BROADCAST_TERMS = 100_000
 
 
@@ -30,19 +32,24 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, mode: str = "or") -> DataF
     count once each. mode 'and' keeps rows with all of a query's words. Any text is a valid query; one without words finds
     nothing. Frequencies are counted for the queries' words only, before any shuffle, so frequent words are no hot keys.
     """
+    spark = rows.sparkSession
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    distinct = terms.select("term").distinct()
-    small = distinct.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     hint = F.broadcast if small else (lambda df: df)
     bags = rows.where(F.col("id").isNotNull()).select("id", tokens(F.col("text")).alias("words")).withColumn("size", F.size("words"))
-    whole = bags.agg(F.count("*").alias("rows"), F.avg("size").alias("mean"))
+    # Number and length of the rows are seen while the postings are written: every text is split once.
+    whole = Observation()
+    bags = bags.observe(whole, F.count("*").alias("rows"), F.sum("size").alias("words"))
     # explode would have Catalyst filter on the words' number first, and so split every text twice.
-    posts = bags.select("id", "size", F.explode_outer("words").alias("term")).join(hint(distinct), "term").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    met = bags.select("id", "size", F.explode_outer("words").alias("term")).join(hint(terms.select("term").distinct()), "term").groupBy("id", "size", "term").agg(F.count("*").alias("tf"))
+    posts, _ = materialize(met, f"{shared_dir(spark)}/posts")
+    seen = whole.get
+    every, mean = seen.get("rows") or 0, (seen.get("words") or 0) / (seen.get("rows") or 1) or 1.0
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weight = df.crossJoin(F.broadcast(whole)).select("term", idf.alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(every) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weight = df.select("term", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
     hits = posts.join(hint(terms.join(weight, "term")), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("met"))
     if mode == "and":
         hits = hits.join(wanted, "query_id").where("met = wanted")

@@ -92,7 +92,7 @@ def idea_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gap_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return batching.gap_batches(_messages(spark, sf), 300.0).drop("content")
+    return batching.gap_batches(_messages(spark, sf), 300.0).drop("tokens")
 
 
 def token_packs(spark: SparkSession, sf: str) -> DataFrame:
@@ -221,8 +221,8 @@ _SUP, _ADD = (f"regexp_matches(lower(content), '{_M(p)}')" for p in (tx.SUPERSED
 _ANS = "coalesce(intent = 'solution' AND other_intent IN ('question', 'problem'), false)"
 _BATCHES = (
     _MESSAGES
-    + """, mg AS (SELECT *, row_number() OVER w AS place, lag(sent_us) OVER w AS earlier FROM msg WHERE source_file IS NOT NULL AND sent_us IS NOT NULL WINDOW w AS (PARTITION BY source_file ORDER BY line_num, rec_id)),
-mr AS (SELECT *, max(CASE WHEN earlier IS NULL OR sent_us - earlier > 300000000 THEN place END) OVER (PARTITION BY source_file ORDER BY place) AS run FROM mg),
+    + """, mg AS (SELECT *, row_number() OVER w AS place, last_value(sent_us IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM msg WINDOW w AS (PARTITION BY source_file ORDER BY line_num NULLS FIRST, rec_id)),
+mr AS (SELECT *, max(CASE WHEN place = 1 OR sent_us - earlier > 300000000 THEN place END) OVER (PARTITION BY source_file ORDER BY place) AS run FROM mg),
 mb AS (SELECT *, first_value(line_num) OVER (PARTITION BY source_file, run + (place - run) // 100 * 100 ORDER BY place) AS batch_line FROM mr)"""
 )
 
@@ -245,7 +245,7 @@ regexp_matches(lower(content), '{_Q(tx.SHIFTS)}') AS shift, regexp_matches(lower
     "idea_times": _MESSAGES + ", l AS (SELECT source_file, line_num, min(sent_us) AS s FROM msg GROUP BY 1, 2) SELECT id, coalesce(epoch_us(message_time), s) AS time_us FROM ideas i LEFT JOIN l ON l.source_file = i.source_file AND l.line_num = i.source_line",
     "gap_batches": _BATCHES + " SELECT source_file, line_num, rec_id, batch_line, place FROM mb",
     "token_packs": _BATCHES.replace("WITH stood", "WITH RECURSIVE stood", 1)
-    + """, sz AS (SELECT source_file, batch_line, CAST(sum(length(content) // 4) AS BIGINT) AS tokens FROM mb GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY batch_line) AS n FROM sz),
+    + """, sz AS (SELECT source_file, batch_line, CAST(sum(length(content) // 4) AS BIGINT) AS tokens FROM mb WHERE source_file IS NOT NULL GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY batch_line) AS n FROM sz),
 k AS (SELECT source_file, n, batch_line, tokens AS total, batch_line AS pack_line FROM o WHERE n = 1 UNION ALL
 SELECT o.source_file, o.n, o.batch_line, CASE WHEN k.total + o.tokens > 2000 THEN o.tokens ELSE k.total + o.tokens END, CASE WHEN k.total + o.tokens > 2000 THEN o.batch_line ELSE k.pack_line END FROM k JOIN o ON o.source_file = k.source_file AND o.n = k.n + 1)
 SELECT source_file, batch_line, pack_line FROM k""",

@@ -59,6 +59,14 @@ def test_gap_batches_and_packs(spark, many_stretches):
     assert batching.token_packs(sizes.where("false"), 60).count() == 0
 
 
+def test_gap_batches_keep_what_has_no_time_or_file(spark):
+    rows = [("f", 1, 1, 0), ("f", 2, 2, None), ("f", 3, 3, 4), ("f", 4, 4, None), ("f", 5, 5, 40), ("g", 1, 6, None), ("g", 2, 7, 1), (None, 1, 8, 0), (None, 2, 9, 50)]
+    df = spark.createDataFrame(rows, "source_file string, line_num int, rec_id bigint, t bigint").withColumns({"sent_at": F.timestamp_seconds("t"), "content": F.lit("abcd")})
+    got = {x.rec_id: x.batch_line for x in batching.gap_batches(df, 5.0, 7).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1, 7: 1, 8: 1, 9: 2}
+    assert batching.gap_batches(df.where("false")).count() == 0
+
+
 def test_semantic_shift(spark):
     rows = [("s", i, i, x) for i, x in enumerate([0.9, 0.5, 0.9, 0.5, 0.5, 0.3, None, 0.9])]
     df = spark.createDataFrame(rows, "session string, at int, id int, similarity double")
@@ -87,6 +95,14 @@ def test_knn_is_exact(spark, metric, monkeypatch):
     assert nearest.knn(rows.where("false"), rows, 3, 4).count() == 0 == nearest.knn(rows.limit(1), rows.where("false"), 3, 4).count()
 
 
+def test_knn_in_passes(spark):
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(r.normal(size=(90, 4)))], "id bigint, v array<double>")
+    one = sorted(tuple(x) for x in nearest.knn(rows, rows, 3, 4).collect())
+    assert sorted(tuple(x) for x in nearest.knn(rows, rows, 3, 4, most=20).collect()) == one and len(one) == 270
+    assert nearest.knn(rows.where("false"), rows, 3, 4).count() == 0 and nearest.knn(rows, rows.where("false"), 3, 4).count() == 0
+
+
 def test_bm25_and_fusion(spark):
     rows = spark.createDataFrame([(1, "Cache cache index"), (2, "index"), (3, None), (4, "cold cache")], "id bigint, text string")
     queries = spark.createDataFrame([(1, "the CACHE, index!"), (2, "?!"), (3, "cache index"), (4, None)], "query_id bigint, text string")

@@ -88,3 +88,11 @@ def test_questions():
 def test_unknown_time_is_a_week(phrase):
     now = datetime(2024, 3, 6)
     assert q.resolve_temporal(phrase, now) == (datetime(2024, 2, 28), now)
+
+
+def test_met_is_any_of(spark):
+    texts = ["", "the decision is x", "so we decided", "we decided", "lets work on it", "let's work on it", "next lets go", "next, let's", "is this?", "why\nnot", None, "it's not working", "okay, lets"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (*tx.INTENTS.values(), tx.SHIFTS, tx.SUBTOPICS, tx.RETURNS, tx.REVIEW_NAMES, tx.PREAMBLES):
+        assert df.where(~F.col("t").rlike(tx.any_of(patterns)).eqNullSafe(tx.met(F.col("t"), patterns))).count() == 0
+    assert sorted(tx.spelled("le'?s a,?")) == sorted(["le's a,", "le's a", "les a,", "les a"]) and tx.spelled("a.b") is None and tx.spelled("a?b*") is None
