@@ -50,7 +50,10 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, mode: str = "or") -> DataF
     idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(every) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = df.select("term", idf.alias("idf"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean)))
-    hits = posts.join(hint(terms.join(weight, "term")), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("met"))
+    # Where the words are broadcast, a row's postings stay together and so make its scores without a shuffle of their own. The
+    # number is given, as postings are few and their scores many: by their size AQE would put them into one task.
+    placed = posts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id") if small else posts
+    hits = placed.join(hint(terms.join(weight, "term")), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("met"))
     if mode == "and":
         hits = hits.join(wanted, "query_id").where("met = wanted")
     return ranked(hits.select("query_id", "id", "score"), k, F.desc("score"), "id").select("query_id", "rank", "id", "score")
