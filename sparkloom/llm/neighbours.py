@@ -23,6 +23,8 @@ from ..session import materialize, shared_dir
 TABLES, BUCKET, MAX_BUCKET = 4, 1536, 8192
 #: At most so many vectors, chosen by a hash of their ids, fit the rotation. All vectors are indexed.
 SAMPLE = 20_000
+#: Most bits of a substring: buckets of BUCKET up to some 10^15 vectors.
+KEY_BITS = 40
 #: A list of oversized buckets up to this length is broadcast (16 bytes a row), a longer one joined by shuffle.
 BROADCAST_ROWS = 100_000
 #: Pairs reranked at once (32 MB a copy at 64 numbers); one query's pairs in a bucket or tile stay together.
@@ -50,6 +52,13 @@ def learn_rotation(sample: np.ndarray, bits: int, rounds: int = 30, seed: int =
     return centre, axes @ turn
 
 
+def learn_code(sample: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """As learn_rotation, for any number of bits: beyond one for each dimension, further rotations give the rest."""
+    each = sample.shape[1]
+    parts = [learn_rotation(sample, min(each, bits - at), seed=at // each) for at in range(0, bits, each)]
+    return parts[0][0], np.hstack([turn for _, turn in parts])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -70,10 +79,10 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = 10, dim: int = 6
     sample = good.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "id bigint, ids array<bigint>, similarities array<float>")
-    width = min(dim // tables, max(0, round(float(np.log2(max(1, rows) / bucket)))))
+    width = min(KEY_BITS, max(0, round(float(np.log2(max(1, rows) / bucket)))))
     tables = tables if width else 1
     x = _matrix(sample["v"].combine_chunks(), dim).astype(np.float64)
-    centre, turn = learn_rotation(x / np.linalg.norm(x, axis=1)[:, None], tables * width) if width else (np.zeros(dim), np.zeros((dim, 0)))
+    centre, turn = learn_code(x / np.linalg.norm(x, axis=1)[:, None], tables * width) if width else (np.zeros(dim), np.zeros((dim, 0)))
 
     copies, extra = _copies(good, k, base)
     if copies is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.structure import RECORD_TEXTS as _TEXTS
@@ -37,14 +37,25 @@ def p3_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    pieces = splitting.record_pieces(table(spark, sf, "synthetic_conversation"))
-    return pieces.where("piece = 0").select("rec_id", (F.col("longest_run") > splitting.LIMIT).cast("int").alias("unbroken"))
+    return splitting.broken_records(table(spark, sf, "synthetic_conversation"))
 
 
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.record_pieces(table(spark, sf, "synthetic_conversation"))
 
 
+def p5_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the pieces, whatever the splitter chose: their number is at least what the length needs, they cover
+    the text from its beginning to its end, none is over the limit, and none starts more than the overlap before a stop."""
+    pieces = p5_pieces(spark, sf)
+    w = Window.partitionBy("rec_id").orderBy("piece")
+    before = pieces.withColumn("before", F.lag("stop").over(w))
+    fits = (F.col("stop") - F.col("start") <= splitting.LIMIT) & (F.char_length("text") == F.col("stop") - F.col("start"))
+    joins = F.coalesce(F.col("before") - F.col("start"), F.col("start"))
+    rows = before.groupBy("rec_id").agg(F.max("stop").alias("size"), F.bool_and(fits).alias("fits"), F.bool_and(joins.between(0, splitting.OVERLAP)).alias("joins"), F.min("start").alias("first"))
+    return rows
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encode(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -75,7 +86,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.where(~F.col("kind").isin("prose", "blank")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p5_covered, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_kinds)}
 
 SQL = {
     "p3_found": _TEXTS
@@ -103,6 +114,7 @@ SELECT session, opener_rec_id, CAST(n - open_n AS INTEGER) AS step, rec_id FROM
     + r"""
 SELECT rec_id, CAST(list_max(list_transform(regexp_split_to_array(txt, '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+'), lambda x: length(x))) > 1600 AS INTEGER) AS unbroken
 FROM texts WHERE length(txt) > 1600""",
+    "p5_covered": _TEXTS + " SELECT rec_id, CAST(length(txt) AS INTEGER) AS size, true AS fits, true AS joins, 0 AS first FROM texts WHERE length(txt) > 1600",
     "p7_found": r"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items),
 grams AS (SELECT DISTINCT item_id, least(len(w), 12) AS k, unnest(list_transform(range(1, greatest(len(w) - 12, 0) + 2), lambda i: array_to_string(w[i:i + least(len(w), 12) - 1], ' '))) AS gram FROM items WHERE len(w) > 0),

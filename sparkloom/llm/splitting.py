@@ -25,7 +25,8 @@ LIMIT, OVERLAP = 1600, 160
 KINDS = ("paragraph", "line", "sentence", "word", "hard", "end")
 COSTS = (0.0, 0.15, 0.3, 1.5, 4.0, 0.0)
 ENDS = (re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*"), re.compile(r"(?:\r\n|\n|\r)\s*"), re.compile(r"[.!?…。！？][\"'»”’)\]]*(?:\s+|(?<=[。！？]))"), re.compile(r"\s+"))
-PIECES = T.ArrayType(T.StructType().add("piece", "integer").add("start", "integer").add("stop", "integer").add("cut", "string").add("text", "string"))
+PIECES = T.ArrayType(T.StructType().add("piece", "integer").add("start", "integer").add("stop", "integer").add("cut", "string").add("broken", "integer").add("text", "string"))
+RUN = re.compile(r"\S+")
 
 
 def cut_places(text: str, limit: int, overlap: int) -> tuple[list[int], list[int]]:
@@ -85,30 +86,51 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     return cuts[::-1]
 
 
-def split_long(texts: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(key, piece, start, stop, cut, text, longest_run): the pieces of each text longer than limit characters.
+def broken_runs(text: str, cuts: list[tuple[int, int, str]]) -> list[int]:
+    """For each piece, the length of the run without white space that its end breaks; 0 if it breaks none."""
+    if not any(kind == "hard" for _, _, kind in cuts):
+        return [0] * len(cuts)
+    runs = [m.span() for m in RUN.finditer(text)]
+    ends = [e for _, e in runs]
+    out = []
+    for _, stop, kind in cuts:
+        a, b = runs[min(bisect_left(ends, stop), len(runs) - 1)]
+        out.append(b - a if kind == "hard" and a < stop < b else 0)
+    return out
 
-    A piece is text[start:stop], at most limit characters (code points) long; cut says what it ends at. longest_run is the
-    length of the text's longest run without white space. Texts within the limit, null and empty ones have no pieces.
-    Rows are taken as they are: equal keys or texts are split each. The work is local to a row.
+
+def split_rows(texts: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, broken, pieces): for each text longer than limit characters its pieces in order, and the length of the longest run
+    without white space that the splitter had to break, 0 if none.
+
+    Texts within the limit, null and empty ones have no row. Equal keys or texts are split each. The work is local to a row.
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be smaller than half the limit")
 
-    @F.arrow_udf(T.StructType().add("longest_run", "integer").add("pieces", PIECES))
+    @F.arrow_udf(T.StructType().add("broken", "integer").add("pieces", PIECES))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kind = pa.struct([("longest_run", pa.int32()), ("pieces", pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cut", pa.string()), ("text", pa.string())])))])
+        piece = pa.struct([("piece", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("cut", pa.string()), ("broken", pa.int32()), ("text", pa.string())])
         for batch in batches:
             out = []
             for t in batch.to_pylist():
                 cuts = [] if t is None else split_text(t, limit, overlap)
-                pieces = [{"piece": i, "start": s, "stop": e, "cut": c, "text": t[s:e]} for i, (s, e, c) in enumerate(cuts)]
-                out.append({"longest_run": max(map(len, (t or "").split()), default=0), "pieces": pieces})
-            yield pa.array(out, kind)
+                broken = broken_runs(t, cuts)
+                pieces = [{"piece": i, "start": s, "stop": e, "cut": c, "broken": r, "text": t[s:e]} for i, ((s, e, c), r) in enumerate(zip(cuts, broken, strict=True))]
+                out.append({"broken": max(broken, default=0), "pieces": pieces})
+            yield pa.array(out, pa.struct([("broken", pa.int32()), ("pieces", pa.list_(piece))]))
 
     long = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.char_length("text") > limit)
-    cut = long.select("key", run("text").alias("cut")).select("key", "cut.longest_run", F.inline("cut.pieces"))
-    return cut.select(F.col("key").alias(key), "piece", "start", "stop", "cut", "text", "longest_run")
+    return long.select(F.col("key").alias(key), run("text").alias("cut")).select(key, "cut.broken", "cut.pieces")
+
+
+def split_long(texts: DataFrame, key: str, text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+    """(key, piece, start, stop, cut, broken, text): the pieces of split_rows(), one row each.
+
+    A piece is text[start:stop], at most limit characters (code points) long; cut says what it ends at, and broken how long
+    the run without white space is that this breaks.
+    """
+    return split_rows(texts, key, text, limit, overlap).select(key, F.inline("pieces"))
 
 
 def long_turns(records: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -120,6 +142,10 @@ def long_turns(records: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def record_pieces(records: DataFrame) -> DataFrame:
-    """(rec_id, piece, start, stop, cut, text, longest_run): the pieces of the long texts of transcript records."""
+    """(rec_id, piece, start, stop, cut, broken, text): the pieces of the long texts of transcript records."""
     return split_long(long_turns(records), "rec_id", "text")
 
+
+def broken_records(records: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(rec_id, unbroken): the records with a long text, and whether a run longer than a piece had to be broken."""
+    return split_rows(long_turns(records, limit), "rec_id", "text", limit).select("rec_id", (F.col("broken") > limit).cast("int").alias("unbroken"))

@@ -71,3 +71,12 @@ def test_codes_within_the_radius_share_a_substring():
         for b in codes:
             if (a != b).sum() < nb.TABLES:
                 assert any((a[t * 5 : t * 5 + 5] == b[t * 5 : t * 5 + 5]).all() for t in range(nb.TABLES))
+
+
+def test_code_of_more_bits_than_dimensions(spark):
+    r = np.random.default_rng(5)
+    centre, turn = nb.learn_code(r.normal(size=(200, 8)), 20)
+    assert turn.shape == (8, 20) and np.allclose(turn[:, :8].T @ turn[:, :8], np.eye(8)) and len(centre) == 8
+    v = r.normal(size=(600, 8)).astype(np.float32)
+    got = {x.id: x.ids for x in nb.nearest(table(spark, v), "id", "e", dim=8, bucket=50).collect()}
+    assert len(got) == 600 and recall(got, truth(v, 10)) > 0.4

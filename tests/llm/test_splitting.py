@@ -62,7 +62,8 @@ def test_split_long(spark):
     assert {x.id for x in got} == {4, 5, 6}
     texts = dict(rows)
     assert all(x.text == texts[x.id][x.start : x.stop] and len(x.text) <= 1600 for x in got)
-    assert {x.longest_run for x in got if x.id == 5} == {2000} and sum(x.piece == 0 for x in got if x.id == 4) == 2
+    assert [x.broken for x in sorted(got, key=lambda x: x.piece) if x.id == 5][:-1] == [2000] * (sum(x.id == 5 for x in got) - 1) and not any(x.broken for x in got if x.id != 5)
+    assert sum(x.piece == 0 for x in got if x.id == 4) == 2
     assert sp.split_long(df.where("false"), "id", "text").count() == 0
     with pytest.raises(ValueError):
         sp.split_long(df, "id", "text", 100, 50)
@@ -75,3 +76,11 @@ def test_records(spark):
     schema = "rec_id bigint, source_file string, line_num int, type string, message struct<role string, content string>, tool_use_result string, text string"
     df = spark.createDataFrame([(i, "f", i, t, Row(role=t, content=c), u, "clash") for i, t, c, u in rows] + [(8, "f", 1, "user", Row(role="user", content=long), None, "again")], schema)
     assert {x.rec_id for x in sp.record_pieces(df).collect()} == {1, 4}
+
+
+def test_broken_records(spark):
+    texts = {1: "word " * 400, 2: "x" * 1601, 3: "a " * 700 + "y" * 1600 + " b", 4: "a " * 700 + "y" * 1601 + " b", 5: ("é" * 1500 + "\n") * 2, 6: "x" * 1601 + " " + "y" * 5000, 7: ("z" * 1650 + "\u2003") * 3}
+    schema = "rec_id bigint, source_file string, line_num int, type string, message struct<role string, content string>, tool_use_result string"
+    df = spark.createDataFrame([(i, "f", i, "user", Row(role="user", content=t), None) for i, t in texts.items()], schema)
+    got = {x.rec_id: x.unbroken for x in sp.broken_records(df).collect()}
+    assert got == {i: int(max(map(len, t.split())) > 1600) for i, t in texts.items()}
