@@ -28,8 +28,8 @@ def hierarchy(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> D
     spark = rows.sparkSession
     base = shared_dir(spark)
     ids = rows.where(F.col(node).isNotNull()).groupBy(F.col(node).cast("bigint").alias("id")).agg(F.min(F.col(parent).cast("bigint")).alias("parent"))
-    known = ids.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    active = ids.join(known, "parent", "left").select(
+    known = ids.select(F.col("id").alias("up"), F.lit(True).alias("known"))
+    active = ids.join(known, _under("up"), "left").select(
         "id", F.when(F.col("known"), F.col("parent")).alias("parent"), F.col("id").cast("string").alias("stretch"), F.col("id").alias("least")
     )
     active, seen = materialize(active, f"{base}/nodes", left=F.count("*"))
@@ -49,6 +49,11 @@ def hierarchy(rows: DataFrame, node: str = "id", parent: str = "parent_id") -> D
     return found.select("id", "root_id", "path", depth.cast("int").alias("depth"), "loop_id")
 
 
+def _under(other: str) -> list:
+    """That a row's parent is `other`. A row without parent has a key of its own, so that roots don't all meet in one task."""
+    return [F.coalesce("parent", "id") == F.col(other), F.col("parent").isNotNull() == F.col(other).isNotNull()]
+
+
 def _round(active: DataFrame, k: int) -> DataFrame:
     """active(id, parent, stretch, least) with what becomes of each node, and its parent and stretch thereafter."""
     kids = active.where(F.col("parent").isNotNull()).groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("kids"), F.min("id").alias("kid"))
@@ -56,10 +61,10 @@ def _round(active: DataFrame, k: int) -> DataFrame:
     luck = lambda c: F.xxhash64(F.col(c), F.lit(k))
     inner = (F.col("kids") == 1) & F.col("parent").isNotNull() & (F.col("parent") != F.col("id"))
     taken = F.coalesce(inner & (luck("id") > luck("kid")) & (luck("id") > luck("parent")), F.lit(False))
-    out = nodes.where(taken).select(F.col("id").alias("parent"), F.col("parent").alias("up"), F.col("stretch").alias("above"), F.col("least").alias("low"))
+    out = nodes.where(taken).select(F.col("id").alias("out"), F.col("parent").alias("up"), F.col("stretch").alias("above"), F.col("least").alias("low"))
     return (
         nodes.withColumn("what", F.when(F.col("kids").isNull(), RAKED).when(taken, TAKEN).otherwise(KEPT))
-        .join(out, "parent", "left")
+        .join(out, _under("out"), "left")
         .select(
             "id",
             "parent",
@@ -74,10 +79,10 @@ def _round(active: DataFrame, k: int) -> DataFrame:
 
 
 def _attach(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    above = found.select(F.col("id").alias("parent"), F.col("root_id").alias("top"), F.col("path").alias("above"), F.col("loop_id").alias("loop"))
+    above = found.select(F.col("id").alias("over"), F.col("root_id").alias("top"), F.col("path").alias("above"), F.col("loop_id").alias("loop"))
     looped = F.col("loop") > 0
     first = F.split_part(F.col("stretch"), F.lit("/"), F.lit(1)).cast("bigint")
-    return nodes.join(above, "parent", "left").select(
+    return nodes.join(above, _under("over"), "left").select(
         "id",
         F.coalesce("top", first).alias("root_id"),
         F.when(looped, "").otherwise(F.concat_ws("/", "above", "stretch")).alias("path"),
