@@ -67,27 +67,32 @@ def test_instants(spark):
     assert apply(spark, ["2024-12-30 00:00:00"], lambda c: period_key(c.cast("timestamp"), "week")) == ["2024-W01"]
 
 
-def test_questions():
-    now = datetime(2024, 3, 6, 15, 30)  # a Wednesday
-    assert q.resolve_temporal("since tuesday", now)[0] == datetime(2024, 3, 5)
-    assert q.resolve_temporal("since wednesday", now)[0] == datetime(2024, 2, 28)
-    assert q.resolve_temporal("since jan 5", now)[0] == datetime(2024, 1, 5)
-    assert q.resolve_temporal("since april", now)[0] == datetime(2023, 4, 1)
-    assert q.resolve_temporal("since feb 29", datetime(2025, 3, 1))[0] == datetime(2024, 2, 29)
-    assert q.resolve_temporal("yesterday", now) == (datetime(2024, 3, 5), datetime(2024, 3, 6))
-    assert q.resolve_temporal("2m", now)[0] == datetime(2024, 1, 6, 15, 30)
-    assert q.decompose_query("decisions about caching")["intent"] == "decision"
-    assert q.decompose_query("relationship between auth and cache")["sub_queries"] == ["auth", "cache"]
-    assert q.decompose_query("index rebuild and write queue")["type"] == "conjunction"
-    assert q.decompose_query("salt and pepper")["type"] == "simple"
-    found = q.analyze_query("Recent decisions on Redis config")
-    assert found["temporal"] == "1w" and found["intent_filter"] == "decision" and found["entities"] == ["Redis"] and "settings" in found["expanded_terms"]
-
-
-@pytest.mark.parametrize("phrase", ["", "nonsense", "since 5"])
-def test_unknown_time_is_a_week(phrase):
+def period(spark, phrase, now):
+    df = spark.createDataFrame([(phrase, now)], "p string, now timestamp_ntz")
+    return tuple(df.select(q.period_of(F.col("p"), F.col("now").cast("timestamp")).alias("r")).selectExpr("CAST(r.since AS timestamp_ntz)", "CAST(r.until AS timestamp_ntz)").first())
+
+
+def test_questions(spark):
+    now = datetime(2024, 3, 6, 15, 30)
+    assert period(spark, "since tuesday", now)[0] == datetime(2024, 3, 5)
+    assert period(spark, "since wednesday", now)[0] == datetime(2024, 2, 28)
+    assert period(spark, "since jan 5", now)[0] == datetime(2024, 1, 5)
+    assert period(spark, "since april", now)[0] == datetime(2023, 4, 1)
+    assert period(spark, "since feb 29", datetime(2025, 3, 1))[0] == datetime(2024, 2, 29)
+    assert period(spark, "yesterday", now) == (datetime(2024, 3, 5), datetime(2024, 3, 6))
+    assert period(spark, "2m", now)[0] == datetime(2024, 1, 6, 15, 30)
+    texts = ["decisions about caching", "relationship between auth and cache", "index rebuild and write queue", "salt and pepper", "How tokens relate to cost", "auth and its connection with login", None, "", "Recent decisions on Redis config"]
+    rows = {x.query_id: x for x in q.analyzed(spark.createDataFrame(list(enumerate(texts)), "query_id int, text string"), F.lit("2024-03-06 15:30:00").cast("timestamp")).collect()}
+    assert rows[0].kind == "intent_scoped" and rows[0].intent == "decision" and rows[0].parts == ["caching"]
+    assert rows[1].parts == ["auth", "cache"] and rows[1].kind == rows[4].kind == rows[5].kind == "relation" and rows[4].parts == ["tokens", "cost"] and rows[5].parts == ["auth", "login"]
+    assert rows[2].kind == "conjunction" and [rows[i].kind for i in (3, 6, 7)] == ["simple"] * 3
+    assert rows[8].since == datetime(2024, 2, 28, 15, 30) and rows[8].intent == "decision" and rows[8].technologies == ["redis"] and "settings" in rows[8].terms and rows[0].since is None
+
+
+@pytest.mark.parametrize("phrase", ["", "since", "since nothing", "gibberish"])
+def test_unknown_time_is_a_week(spark, phrase):
     now = datetime(2024, 3, 6)
-    assert q.resolve_temporal(phrase, now) == (datetime(2024, 2, 28), now)
+    assert period(spark, phrase, now) == (datetime(2024, 2, 28), now)
 
 
 def test_met_is_any_of(spark):
