@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -145,3 +145,31 @@ def reflection(ideas: DataFrame, now, days: int = 7, most: int = 5, width: int =
     first = recent.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("session", "intent", "place", F.substring("content", 1, width).alias("content"))
     counts = counts.select(F.col("session").alias("of"), F.col("intent").alias("kind"), "n")
     return first.join(counts, F.col("session").eqNullSafe(F.col("of")) & F.col("intent").eqNullSafe(F.col("kind"))).select("session", "intent", "place", "n", "content")
+
+
+def topic_key_ideas(ideas: DataFrame, span_rows: DataFrame, period: str, most: int = 3) -> DataFrame:
+    """key_ideas() of each topic and period: (topic_id, period, place, idea_id, intent, content)."""
+    rows = with_topic(visible(ideas), span_rows).where(F.col("topic_id").isNotNull()).withColumn("period", period_key(when_said(), period))
+    return key_ideas(rows, ["topic_id", "period"], most)
+
+
+def recent(ideas: DataFrame, now, days: int) -> DataFrame:
+    """The ideas of the last days before now."""
+    return ideas.where(when_said() >= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+
+
+def after_session(ideas: DataFrame, session: str | Column) -> DataFrame:
+    """The ideas said after the last one of a session; all of them if there is no such session."""
+    end = ideas.where(F.col("session") == session).agg(F.max(when_said()).alias("_end"))
+    return ideas.crossJoin(F.broadcast(end)).where(F.col("_end").isNull() | (when_said() > F.col("_end"))).select(ideas.columns)
+
+
+def top_accessed(ideas: DataFrame, most: int = 5) -> DataFrame:
+    """(id, access_count): the ideas looked at most."""
+    return ideas.where(F.col("access_count") > 0).orderBy(F.desc("access_count"), "id").limit(most).select("id", "access_count")
+
+
+def latest_spans(span_rows: DataFrame) -> DataFrame:
+    """(session, span_id): the span of each session that starts last, of several the one of the greatest id."""
+    rows = spans(span_rows).where(F.col("session").isNotNull())
+    return rows.groupBy("session").agg(F.max(F.struct("start_line", "id"))["id"].alias("span_id"))

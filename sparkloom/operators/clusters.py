@@ -68,3 +68,16 @@ def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     k = k or max(2, min(8, int(n**0.5)))
     points = rows.select("id", array_to_vector("v").alias("features"))
     return KMeans(k=k, seed=seed, maxIter=20).fit(points).transform(points).select("id", F.col("prediction").alias("cluster"))
+
+
+def cluster_report(rows: DataFrame, dim: int = 64) -> DataFrame:
+    """(topic_id, size, score, misplaced, partners, may_split) of each topic of topic_ideas(): how close it is, how many of its
+    ideas are nearer to another topic, how many topics it may merge with, and whether it may be split."""
+    centres = centroids(rows, "topic_id", dim)
+    close = coherence(rows, centres, "topic_id").select("topic_id", "size", "score")
+    astray = misplaced(rows, centres, dim).groupBy("topic_id").agg(F.count("*").alias("misplaced"))
+    pairs = merge_candidates(centres, "topic_id", dim=dim)
+    partners = pairs.select(F.col("a").alias("topic_id")).unionByName(pairs.select(F.col("b").alias("topic_id"))).groupBy("topic_id").agg(F.count("*").alias("partners"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    joined = close.join(astray, "topic_id", "left").join(partners, "topic_id", "left")
+    return joined.select("topic_id", "size", "score", zero("misplaced"), zero("partners"), ((F.col("size") >= 5) & (F.col("score") < 0.7)).alias("may_split"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from .clusters import centroids, topic_ideas
 from .hierarchy import hierarchy
-from .memory import spans, visible, when_said
+from .memory import spans, visible, when_said, with_topic
 from .nearest import usable, within
 
 
@@ -85,3 +85,32 @@ def topic_expansion(ideas: DataFrame, span_rows: DataFrame, least: float = 0.8,
     scored = rows.join(asked, "topic_id").select("query_id", "id", "topic_id", F.round(cosine(F.col("v"), F.col("q")), 9).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "topic_id", "score")
+
+
+def span_similarity(ideas: DataFrame, dim: int = 64) -> DataFrame:
+    """(id, session, at, span_id, similarity): cosine, to nine places, of each visible idea with its span's mean vector."""
+    rows = visible(ideas).where(F.col("span_id").isNotNull())
+    own = usable(rows, "id", "embedding", dim).join(rows.select("id", "session", "span_id", when_said().alias("at")), "id")
+    means = span_vectors(ideas, dim).select(F.col("id").alias("span_id"), F.col("v").alias("mean"))
+    return own.join(means, "span_id").select("id", "session", "at", "span_id", F.round(cosine(F.col("v"), F.col("mean")), 9).alias("similarity"))
+
+
+def told(ideas: DataFrame, by: str, order: list, line: Column, most: int, between: str = "\n") -> DataFrame:
+    """(by, text): the first `most` rows of each group in order, as lines. A group is cut before it is gathered."""
+    w = Window.partitionBy(by).orderBy(*order)
+    first = ideas.where(F.col(by).isNotNull()).withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= most).select(by, "_at", line.alias("_line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_line"))), lambda x: x["_line"])
+    return first.groupBy(by).agg(F.array_join(lines, between).alias("text"))
+
+
+def topic_reflection(ideas: DataFrame, span_rows: DataFrame, most: int = 30, width: int = 150) -> DataFrame:
+    """(topic_id, text): the first ideas of each topic as a timeline, one line each, for a text model to reflect on."""
+    line = F.concat(F.lit("- ["), F.coalesce("intent", F.lit("context")), F.lit("] "), F.substring(F.coalesce("content", F.lit("")), 1, width))
+    return told(with_topic(visible(ideas), span_rows), "topic_id", [when_said(), "id"], line, most)
+
+
+def span_texts_confident(span_rows: DataFrame, ideas: DataFrame, most: int = 10, size: int = 2000) -> DataFrame:
+    """(id, text): name and most confident ideas of each span, one a line, as embedded."""
+    points = told(visible(ideas), "span_id", [F.desc_nulls_last("confidence"), "id"], F.coalesce("content", F.lit("")), most)
+    rows = spans(span_rows).select("id", "name").join(points.select(F.col("span_id").alias("id"), F.col("text").alias("points")), "id", "left")
+    return rows.select("id", F.substring(F.concat_ws("\n", "name", "points"), 1, size).alias("text"))

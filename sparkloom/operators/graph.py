@@ -35,10 +35,11 @@ def edges(relations: DataFrame, direction: str = "both") -> DataFrame:
     return picked.where(F.col("id") != F.col("next")).distinct()
 
 
-def walk(seeds: DataFrame, relations: DataFrame, hops: int, direction: str = "both") -> DataFrame:
+def walk(seeds: DataFrame, relations: DataFrame, hops: int, direction: str = "both", most: int | None = None) -> DataFrame:
     """(seed, id, hop, parent): what each seed reaches, at its first hop; of several ways the smallest parent stands.
 
     Breadth first: each hop joins the frontier with the steps and drops what the seed already has. The seed itself is hop 0.
+    With `most`, a hop of a seed goes on with that many of the smallest ids.
     """
     steps = edges(relations, direction)
     base = shared_dir(seeds.sparkSession)
@@ -48,6 +49,9 @@ def walk(seeds: DataFrame, relations: DataFrame, hops: int, direction: str = "bo
     for hop in range(1, hops + 1):
         fresh = frontier.join(steps, "id").groupBy("seed", F.col("next").alias("id")).agg(F.min("id").alias("parent"))
         fresh = fresh.join(found.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(hop).alias("hop"), "parent")
+        if most is not None:
+            w = Window.partitionBy("seed").orderBy("id")
+            fresh = fresh.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
         frontier, got = materialize(fresh, f"{base}/hop={hop}", n=F.count("*"))
         if not got["n"]:
             break
@@ -141,3 +145,29 @@ def project_tree(projects: DataFrame, topics: DataFrame, span_rows: DataFrame) -
         .unionByName(t.select(text("project_id", "id").alias("path"), F.lit("topic").alias("kind"), "id", "name", F.lit(1).alias("depth")))
         .unionByName(s.select(text("project_id", "topic_id", "id").alias("path"), F.lit("span").alias("kind"), "id", "name", F.lit(2).alias("depth")))
     )
+
+
+def among(relations: DataFrame, ideas: DataFrame) -> DataFrame:
+    """The relations whose ends are both among the ideas."""
+    ids = ideas.select("id").distinct()
+    return relations.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(relations.columns)
+
+
+def neighbours(relations: DataFrame, most: int = 5) -> DataFrame:
+    """(id, direction, relation_type, n, others): the related ideas of each idea by direction and type: their number, and the
+    `most` smallest ids, joined with commas. Each pair counts once; a group is cut before it is gathered."""
+    rows = relations.select(F.col("from_id").alias("id"), F.lit("out").alias("direction"), "relation_type", F.col("to_id").alias("other"))
+    rows = rows.unionByName(relations.select(F.col("to_id").alias("id"), F.lit("in").alias("direction"), "relation_type", F.col("from_id").alias("other"))).distinct()
+    by = ["id", "direction", "relation_type"]
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("other"))).where(F.col("_n") <= most)
+    others = F.array_join(F.array_sort(F.collect_list("other")).cast("array<string>"), ",").alias("others")
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("direction") == F.col("_d")) & F.col("relation_type").eqNullSafe(F.col("_t"))
+    listed = first.groupBy(*by).agg(others).select(F.col("id").alias("_id"), F.col("direction").alias("_d"), F.col("relation_type").alias("_t"), "others")
+    return counts.join(listed, same).select(*by, "n", "others")
+
+
+def best_links(links: DataFrame, most: int = 3) -> DataFrame:
+    """(topic_id, rank, related_topic_id, similarity): the `most` nearest of each topic's outgoing links."""
+    w = Window.partitionBy("topic_id").orderBy(F.desc("similarity"), "related_topic_id")
+    return links.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("topic_id", "rank", "related_topic_id", "similarity")

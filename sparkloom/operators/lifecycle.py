@@ -121,3 +121,58 @@ def topic_times(topics: DataFrame, span_rows: DataFrame) -> DataFrame:
     """(id, first_seen, last_seen): times of each topic's spans, and its own where it has none."""
     seen = spans(span_rows).groupBy(F.col("topic_id").alias("id")).agg(F.min("start_time").alias("a"), F.max(F.coalesce("end_time", "start_time")).alias("b"))
     return topics.join(seen, "id", "left").select("id", F.coalesce("a", "first_seen").alias("first_seen"), F.coalesce("b", "last_seen").alias("last_seen"))
+
+
+def consolidated(ideas: DataFrame, span_rows: DataFrame, now: Column, days: int = 7, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """ideas with consolidated_into, and the summaries (id, topic_id, content, confidence, sources) that they went into.
+
+    Each topic to be summed up gets one summary under an id after the last, in the order of the topics.
+    """
+    top = F.broadcast(ideas.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
+    made = numbered(consolidate(ideas, span_rows, now, days, least).withColumn("_all", F.lit(0)), ["_all"], ["topic_id"]).crossJoin(top)
+    made = made.select((F.col("_top") + F.col("place")).alias("id"), "topic_id", "content", F.lit(0.8).alias("confidence"), "sources")
+    old = (age_days(now, F.col("created_at")) >= days) & ~should_preserve(F.col("intent"), F.col("confidence"))
+    gone = with_topic(visible(ideas).where(old), span_rows).join(made.select("topic_id", F.col("id").alias("consolidated_into")), "topic_id").select("id", "consolidated_into")
+    return ideas.drop("consolidated_into").join(gone, "id", "left"), made
+
+
+def delete_topics(span_rows: DataFrame, ideas: DataFrame, topics: DataFrame, ids: DataFrame, with_ideas: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """spans, ideas and topics without the given topics (id): their spans belong to no topic, and with_ideas their ideas go."""
+    gone = ids.select(F.col("id").alias("topic_id"), F.lit(True).alias("_gone")).distinct()
+    left = span_rows.join(gone, "topic_id", "left").withColumn("topic_id", F.when(F.col("_gone").isNull(), F.col("topic_id"))).select(span_rows.columns)
+    if with_ideas:
+        of = spans(span_rows).join(gone, "topic_id", "left_semi").select(F.col("id").alias("span_id"))
+        ideas = ideas.join(of, "span_id", "left_anti").select(ideas.columns)
+    return left, ideas, topics.join(ids, "id", "left_anti")
+
+
+def prune_old(ideas: DataFrame, relations: DataFrame, now: Column, days: int) -> tuple[DataFrame, DataFrame]:
+    """ideas and relations without the ideas older than so many days, decisions and conclusions among them too."""
+    old = ideas.where(age_days(now, F.coalesce("message_time", "created_at")) > days)
+    return delete_cascade(ideas, relations, old)
+
+
+def merge_spans(span_rows: DataFrame, ideas: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """spans and ideas after each pair's source span went into its target; pairs is (source, target), sources unique and no
+    target a source. Ideas and children of a source go to its target; a target that was below its source takes its place."""
+    to = pairs.select("source", "target")
+    up = span_rows.join(to.withColumnRenamed("target", "_up"), F.col("parent_id") == F.col("source"), "left").withColumn("parent_id", F.coalesce("_up", "parent_id")).drop("source", "_up")
+    up = up.withColumn("parent_id", F.when(F.col("parent_id") != F.col("id"), F.col("parent_id")))
+    left = up.join(to.select(F.col("source").alias("id")), "id", "left_anti").select(span_rows.columns)
+    moved = ideas.join(to, F.col("span_id") == F.col("source"), "left").withColumn("span_id", F.coalesce("target", "span_id")).select(ideas.columns)
+    return left, moved
+
+
+def same_spans(span_rows: DataFrame) -> DataFrame:
+    """(source, target): the spans of a session with a name that an earlier id of the session has, and that id."""
+    rows = spans(span_rows).where(F.col("session").isNotNull()).withColumn("key", F.trim(F.lower("name"))).where(F.length("key") > 0)
+    first = rows.groupBy("session", "key").agg(F.min("id").alias("target"))
+    return rows.join(first, ["session", "key"]).where(F.col("id") != F.col("target")).select(F.col("id").alias("source"), "target")
+
+
+def answered(ideas: DataFrame, relations: DataFrame) -> DataFrame:
+    """ideas with answered set on the questions that a visible idea answers."""
+    by = visible(ideas).select(F.col("id").alias("from_id"))
+    hit = relations.where("relation_type = 'answers'").join(by, "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
+    now = (F.col("intent") == "question") & F.col("_hit")
+    return ideas.join(hit, "id", "left").withColumn("answered", F.when(now, True).otherwise(F.col("answered"))).select(ideas.columns)

@@ -6,6 +6,8 @@ A result list is (query_id, rank, id, ...). Result lists are short; they join th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
@@ -25,11 +27,11 @@ def ranked(rows: DataFrame, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(queries: DataFrame, rows: DataFrame, k: int, mode: str = "or") -> DataFrame:
+def bm25(queries: DataFrame, rows: DataFrame, k: int, mode: str = "or", only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k best rows of each query by BM25, ties by id.
 
     queries is (query_id, text), rows is (id, text). Words are runs of letters and digits in lower case; a query's words
-    count once each. mode 'and' keeps rows with all of a query's words. Any text is a valid query; one without words finds
+    count once each. mode 'and' keeps rows with all of a query's words, `only` those hits (query_id, id) that it returns, both before the cut. Any text is a valid query; one without words finds
     nothing. Frequencies are counted for the queries' words only, before any shuffle, so frequent words are no hot keys.
     """
     spark = rows.sparkSession
@@ -56,6 +58,8 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, mode: str = "or") -> DataF
     hits = placed.join(hint(terms.join(weight, "term")), "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("met"))
     if mode == "and":
         hits = hits.join(wanted, "query_id").where("met = wanted")
+    if only is not None:
+        hits = only(hits)
     return ranked(hits.select("query_id", "id", "score"), k, F.desc("score"), "id").select("query_id", "rank", "id", "score")
 
 
@@ -136,3 +140,28 @@ def like_search(rows: DataFrame, part: str, k: int) -> DataFrame:
     """(id): the newest k rows whose content holds a text, in any case."""
     hit = F.contains(F.lower("content"), F.lower(F.lit(part)))
     return rows.where(hit).orderBy(F.desc_nulls_last("created_at"), F.desc("id")).limit(k).select("id")
+
+
+def search_auto(asked: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, id, kind): a keyword search for each analysed question (query_id, kind, parts, intent, since, until),
+    over rows (id, text, intent, at). All parts of all questions are one search.
+
+    Intent and time narrow the hits before the cut. Both parts of a conjunction are fused, what both have counting half as
+    much again; of a relation what both have comes first.
+    """
+    parts = asked.select("query_id", "kind", "intent", "since", "until", F.posexplode("parts").alias("part", "text")).withColumn("of", F.col("query_id") * 2 + F.col("part"))
+    limits = parts.where("intent IS NOT NULL OR since IS NOT NULL").select(F.col("of").alias("query_id"), F.col("intent").alias("wanted"), "since", "until")
+
+    def only(hits: DataFrame) -> DataFrame:
+        narrowed = hits.join(limits, "query_id").join(rows.select("id", "intent", "at"), "id")
+        fits = (F.col("wanted").isNull() | (F.col("intent") == F.col("wanted"))) & (F.col("since").isNull() | F.col("at").between(F.col("since"), F.col("until")))
+        return hits.join(limits.select("query_id"), "query_id", "left_anti").unionByName(narrowed.where(fits).select(hits.columns))
+
+    found = bm25(parts.select(F.col("of").alias("query_id"), "text"), rows.select("id", "text"), 2 * k, only=only)
+    base = shared_dir(asked.sparkSession)
+    lists, _ = materialize(found.withColumnRenamed("query_id", "of").join(parts.select("of", "query_id", "kind", "part"), "of").select("query_id", "kind", "part", "rank", "id"), f"{base}/lists")
+    of = lambda kind, part: lists.where((F.col("kind") == kind) & (F.col("part") == part)).select("query_id", "rank", "id")
+    both = rrf([of("conjunction", 0), of("conjunction", 1)], k, 1.5).select("query_id", "rank", "id", F.lit("conjunction").alias("kind"))
+    related = both_first(of("relation", 0), of("relation", 1), k).select("query_id", "rank", "id", F.lit("relation").alias("kind"))
+    rest = lists.where(F.col("kind").isin("simple", "intent_scoped") & (F.col("rank") <= k)).select("query_id", "rank", "id", "kind")
+    return rest.unionByName(both).unionByName(related)
