@@ -1,11 +1,13 @@
 """Incremental ingestion: batches by pauses, spans by topic turns, and a sink that may be repeated.
 
-Each file (or session) keeps a few numbers as state; its rows pass through in order and are never gathered.
+Each file (or session) keeps a few numbers as state. Spark hands a micro-batch's rows of a file over in chunks of any order, so
+their places and times (some 20 bytes a row) are put in order first; how much a micro-batch holds is the source's to bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,18 @@ GAP_OUT = "source_file string, byte_start bigint, batch_start bigint"
 SPAN_OUT = "source_file string, byte_start bigint, span bigint, parent bigint, depth int"
 
 
+def in_order(rows: Iterator[pd.DataFrame], column: str) -> Iterator[tuple[int, object]]:
+    """(byte_start, column) of all chunks, by byte_start."""
+    whole = pd.concat([pdf[["byte_start", column]] for pdf in rows], ignore_index=True).sort_values("byte_start", kind="stable")
+    yield from zip(whole["byte_start"].tolist(), whole[column].tolist(), strict=True)
+
+
+def frames(found: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows as frames of bounded size."""
+    while part := list(islice(found, 10_000)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 class GapBatches(StatefulProcessor):
     """The batch of each message: a new one after a pause, or after so many messages."""
 
@@ -29,14 +43,16 @@ class GapBatches(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         start, size, at = self.state.get() if self.state.exists() else (None, 0, None)
-        for pdf in rows:
-            out = []
-            for byte, t in pdf.sort_values("byte_start")[["byte_start", "at"]].itertuples(index=False):
+
+        def placed() -> Iterator[tuple]:
+            nonlocal start, size, at
+            for byte, t in in_order(rows, "at"):
                 if start is None or t - at > self.seconds * 1_000_000 or size >= self.most:
                     start, size = int(byte), 0
                 size, at = size + 1, int(t)
-                out.append((key[0], int(byte), start))
-            yield pd.DataFrame(out, columns=["source_file", "byte_start", "batch_start"])
+                yield key[0], int(byte), start
+
+        yield from frames(placed(), ["source_file", "byte_start", "batch_start"])
         if start is not None:
             self.state.update((start, size, at))
 
@@ -52,17 +68,19 @@ class SpanStack(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         stack = list(self.state.get()[0]) if self.state.exists() else []
-        for pdf in rows:
-            out = []
-            for byte, turn in pdf.sort_values("byte_start")[["byte_start", "turn"]].itertuples(index=False):
+
+        def placed() -> Iterator[tuple]:
+            nonlocal stack
+            for byte, turn in in_order(rows, "turn"):
                 if turn == "back" and len(stack) > 1:
                     stack.pop()
                 elif turn == "deeper" and stack:
                     stack.append(int(byte))
                 elif turn == "shift" or not stack:
                     stack = [int(byte)]
-                out.append((key[0], int(byte), stack[-1], stack[-2] if len(stack) > 1 else None, len(stack) - 1))
-            frame = pd.DataFrame(out, columns=["source_file", "byte_start", "span", "parent", "depth"])
+                yield key[0], int(byte), stack[-1], stack[-2] if len(stack) > 1 else None, len(stack) - 1
+
+        for frame in frames(placed(), ["source_file", "byte_start", "span", "parent", "depth"]):
             yield frame.astype({"parent": "Int64"})
         self.state.update((stack,))
 
