@@ -25,7 +25,7 @@ def p4_descendants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_below(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.subtree_sizes(hierarchy.hierarchy(table(spark, sf, "spans")))
+    return hierarchy.subtree_sizes(table(spark, sf, "spans"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_values, p4_found, p4_descendants, p4_below)}

@@ -131,12 +131,14 @@ def test_hierarchy_equals_a_walk(spark, shape):
         "circle": {i: i % 40 + 1 if i <= 40 else r.randint(1, i - 1) for i in range(1, n)},
     }[shape]
     rows = [(i, p, "clash", i) for i, p in parent.items()] + [(5, parent[5], "again", 0), (None, 3, "x", 0)]
-    found = hierarchy.hierarchy(spark.createDataFrame(rows, "id bigint, parent_id bigint, path string, depth int")).cache()
+    df = spark.createDataFrame(rows, "id bigint, parent_id bigint, path string, depth int")
+    found = hierarchy.hierarchy(df).cache()
     assert {x.id: (x.root_id, x.path, x.depth, x.loop_id) for x in found.collect()} == brute_tree(parent)
     want = {(int(a), i, d - k) for i, (_, path, d, _) in brute_tree(parent).items() if path for k, a in enumerate(path.split("/")[:-1])}
     assert {tuple(x) for x in hierarchy.descendants(found).collect()} == want
-    below = {x.id: x.below for x in hierarchy.subtree_sizes(found).collect()}
+    below = {x.id: x.below for x in hierarchy.subtree_sizes(df).collect()}
     assert sum(below.values()) == len(want) and len(below) == len(parent)
+    assert all(n == sum(a == i for a, _, _ in want) for i, n in below.items())
 
 
 def test_hierarchy_of_nothing_and_of_itself(spark):
