@@ -115,7 +115,9 @@ def conversation_turns(records: DataFrame) -> DataFrame:
 
 
 def dropped_sessions(records: DataFrame) -> DataFrame:
-    """(session, turns): the sessions with turns that conversations() leaves out."""
+    """(session, turns): the sessions that conversations() leaves out, the empty ones, without any turn, too."""
     kept = conversations(records).select("session").distinct()
-    return turns(records).groupBy("session").agg(F.count("*").alias("turns")).join(kept, "session", "left_anti")
+    every = records.where(F.col("session").isNotNull()).select("session").distinct()
+    counts = turns(records).groupBy("session").agg(F.count("*").alias("turns"))
+    return every.join(kept, "session", "left_anti").join(counts, "session", "left").select("session", F.coalesce("turns", F.lit(0)).alias("turns"))
 

@@ -88,8 +88,9 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_ranked, p3_found, p3_turns, p3_dropped, p5_found, p5_pieces, p5_covered, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_kinds)}
 
-SQL = {
-    "p3_found": _TEXTS
+#: The turns of whole conversations (opened), as a chain of common table expressions.
+_OPENED = (
+    _TEXTS
     + r"""
 , rows_ AS (
   SELECT session, source_file, line_num, rec_id, type = 'user' AS by_user, damaged,
@@ -109,7 +110,15 @@ SQL = {
   SELECT session, rec_id, n, last_value(CASE WHEN by_user THEN n END IGNORE NULLS) OVER w AS open_n, last_value(CASE WHEN by_user THEN rec_id END IGNORE NULLS) OVER w AS opener_rec_id
   FROM ordered SEMI JOIN whole USING (session) WINDOW w AS (PARTITION BY session ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
-SELECT session, opener_rec_id, CAST(n - open_n AS INTEGER) AS step, rec_id FROM opened""",
+"""
+)
+
+SQL = {
+    "p3_found": _OPENED + "SELECT session, opener_rec_id, CAST(n - open_n AS INTEGER) AS step, rec_id FROM opened",
+    "p3_turns": _OPENED + "SELECT o.session, opener_rec_id, CAST(n - open_n AS INTEGER) AS step, o.rec_id, t.type AS role, t.txt AS text FROM opened o JOIN texts t ON t.rec_id = o.rec_id",
+    "p3_dropped": _OPENED
+    + """SELECT s.session, coalesce(size, 0) AS turns FROM (SELECT DISTINCT session FROM synthetic_conversation WHERE session IS NOT NULL) s
+LEFT JOIN (SELECT session, count(*) AS size FROM ordered GROUP BY 1) o ON o.session = s.session WHERE s.session NOT IN (SELECT session FROM whole)""",
     "p5_found": _TEXTS
     + r"""
 SELECT rec_id, CAST(list_max(list_transform(regexp_split_to_array(txt, '[\s\p{Z}\x{85}\x{1c}-\x{1f}\x{0b}]+'), lambda x: length(x))) > 1600 AS INTEGER) AS unbroken
