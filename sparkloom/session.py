@@ -12,6 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.observation import Observation
 
 
+#: Folders of intermediate tables made by this driver.
+made: list[str] = []
+#: The temporary folder of a driver without a shared one.
+own: dict[str, str] = {}
+
+
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench. On a cluster the caller brings its own."""
     return (
@@ -35,16 +41,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the shared place that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset and everything runs on this machine, as in tests, a temporary folder is set as it.
+    Only where that is unset and everything runs on this machine, as in tests, a temporary folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or own.get("root")
     if not root:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-sparkloom-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/sparkloom-{uuid.uuid4().hex}"
+        own["root"] = root
+    made.append(f"{root}/sparkloom-{uuid.uuid4().hex}")
+    return made[-1]
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Removes the folders of intermediate tables that this driver has made so far, and returns how many there were.
+
+    For when the results of all queries built until then are written or read: what reads from these folders fails afterwards.
+    """
+    gone = 0
+    while made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame, path: str, **metrics) -> tuple[DataFrame, dict]:

@@ -1,8 +1,10 @@
 from datetime import datetime
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import session
 from sparkloom.operators import analytics, context, graph, lifecycle, search
 from sparkloom.streaming import ingest
 
@@ -92,3 +94,29 @@ def test_search_auto(spark):
 def test_stream_rows_are_put_in_order():
     chunks = [pd.DataFrame({"byte_start": [30, 10], "at": [3, 1]}), pd.DataFrame({"byte_start": [20, 0], "at": [2, 0]})]
     assert list(ingest.in_order(iter(chunks), "at")) == [(0, 0), (10, 1), (20, 2), (30, 3)]
+
+
+def test_shared_folders_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(session, "made", [])
+    df, got = session.materialize(spark.range(3), session.shared_dir(spark), n=F.count("*"))
+    assert df.count() == 3 == got["n"] and session.clear_shared(spark) == 1 and session.clear_shared(spark) == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Session:
+        class conf:  # noqa: N801
+            of: dict = {}
+            get = staticmethod(lambda key, default=None: Session.conf.of.get(key, default))
+
+    monkeypatch.setattr(session, "own", {})
+    monkeypatch.setattr(session, "made", [])
+    Session.conf.of = {"spark.master": "spark://host:7077"}
+    with pytest.raises(ValueError):
+        session.shared_dir(Session)
+    Session.conf.of = {"spark.master": "local-cluster[3,2,1000]"}
+    with pytest.raises(ValueError):
+        session.shared_dir(Session)
+    Session.conf.of = {"spark.master": "local[4]"}
+    assert session.shared_dir(Session).startswith(session.own["root"]) and session.shared_dir(Session) != session.shared_dir(Session)
+    Session.conf.of = {"spark.master": "spark://host:7077", "spark.checkpoint.dir": "/shared"}
+    assert session.shared_dir(Session).startswith("/shared/sparkloom-")
