@@ -210,8 +210,8 @@ SQL = {
     "knn_l2": _six(_ROWS, _knn("round(list_distance(qv, v), 9)", "s", 10)),
     "knn_temporal": _six(_ROWS + f", then_ AS (SELECT rows_.* FROM rows_ SEMI JOIN (SELECT id FROM ideas WHERE coalesce(message_time, created_at) BETWEEN TIMESTAMP '2021-03-04' AND TIMESTAMP '2021-03-07') USING (id))", _knn(_COS, "s DESC", 10, rows="then_")),
     "similar_ideas": _six(
-        _ROWS + ", pairs AS (SELECT from_id AS a, to_id AS b FROM relations UNION SELECT to_id, from_id FROM relations), wide AS (" + _knn(_COS, "s DESC", 30) + ")",
-        "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score FROM (SELECT w.query_id, w.id, w.score FROM wide w LEFT JOIN pairs ON a = query_id AND b = id WHERE a IS NULL) QUALIFY rank <= 10",
+        _ROWS + ", pairs AS (SELECT from_id AS a, to_id AS b FROM relations UNION SELECT to_id, from_id FROM relations)",
+        _knn(_COS, "s DESC", 10, "NOT EXISTS (SELECT 1 FROM pairs WHERE a = query_id AND b = id)"),
     ),
     "topic_centroids": f"WITH {VECTORS}, {CENTROIDS}, n AS (SELECT topic_id, count(*) AS size FROM members GROUP BY 1) SELECT topic_id, size, round(v[1], 6) AS first, round(list_sum(v), 5) AS total FROM centres JOIN n USING (topic_id)",
     "topic_coherence": _COHERENCE + " SELECT * FROM co",
