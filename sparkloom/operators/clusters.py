@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, norm, unit
@@ -12,6 +16,9 @@ from ..session import materialize, shared_dir
 from .memory import visible, with_topic
 from .nearest import closest_points, usable, within
 
+#: Centres of clusters up to this many are broadcast (41 MB at 64 numbers).
+BROADCAST_CENTRES = 80_000
+
 
 def topic_ideas(ideas: DataFrame, span_rows: DataFrame, dim: int = 64) -> DataFrame:
     """(id, topic_id, v): visible ideas with a topic and a usable vector, brought to length 1."""
@@ -70,6 +77,77 @@ def kmeans(rows: DataFrame, k: int | None = None, seed: int = 42) -> DataFrame:
     return KMeans(k=k, seed=seed, maxIter=20).fit(points).transform(points).select("id", F.col("prediction").alias("cluster"))
 
 
+def subclusters(rows: DataFrame, k: int | None = None, rounds: int = 20, dim: int = 64) -> DataFrame:
+    """(id, topic_id, cluster, distance): k-means within each topic of topic_ideas(), all topics at once.
+
+    k is the root of the topic's number of ideas, 2 to 8, if not given; topics of fewer than four ideas are left out. A topic
+    starts from the ideas with the smallest hashes of their ids. A round is one aggregate of partial sums, so a topic may hold any share of
+    the ideas; a cluster that loses all its ideas keeps its centre. It ends when no centre moves, after `rounds` at most.
+    distance is the squared one to the cluster's centre, to nine places; ties go to the smaller cluster. Up to
+    BROADCAST_CENTRES centres are broadcast, more are joined by shuffle.
+    """
+    base = shared_dir(rows.sparkSession)
+    sizes = rows.groupBy("topic_id").agg(F.count("*").alias("n")).where("n >= 4")
+    wanted = F.lit(k) if k else F.greatest(F.lit(2), F.least(F.lit(8), F.floor(F.sqrt("n")).cast("int")))
+    points, _ = materialize(rows.join(sizes, "topic_id").select("id", "topic_id", "v", wanted.alias("k")), f"{base}/points")
+    w = Window.partitionBy("topic_id").orderBy(F.xxhash64("id"), "id")
+    first = points.withColumn("c", F.row_number().over(w)).where(F.col("c") <= F.least(F.lit(k or 8), "k"))
+    centres, seen = materialize(first.select("topic_id", (F.col("c") - 1).alias("c"), "v"), f"{base}/start", n=F.count("*"))
+    hint = F.broadcast if seen["n"] <= BROADCAST_CENTRES else (lambda df: df)
+
+    def met(centres: DataFrame) -> DataFrame:
+        every = centres.groupBy("topic_id").agg(F.array_sort(F.collect_list(F.struct("c", "v"))).alias("cs"))
+        return points.join(hint(every), "topic_id").select("id", "topic_id", "v", "cs")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, c, _ = _closest(b, dim)
+            groups, at = np.unique(np.stack([b["topic_id"].to_numpy(), c]), axis=1, return_inverse=True)
+            total = np.zeros((groups.shape[1], dim))
+            np.add.at(total, at.ravel(), v)
+            ends = pa.array(np.arange(0, total.size + 1, dim), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(groups[0]), pa.array(groups[1].astype(np.int32)), pa.array(np.bincount(at.ravel())), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], ["topic_id", "c", "n", "s"])
+
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, c, d = _closest(b, dim)
+            yield pa.RecordBatch.from_arrays([b["id"], b["topic_id"], pa.array(c.astype(np.int32)), pa.array(d)], ["id", "topic_id", "cluster", "distance"])
+
+    for i in range(rounds - 1):
+        parts = met(centres).mapInArrow(sums, "topic_id bigint, c int, n bigint, s array<double>")
+        whole = parts.groupBy("topic_id", "c").agg(*[F.round(F.sum(F.col("s")[j]) / F.sum("n"), 9).alias(f"m{j}") for j in range(dim)])
+        fresh = whole.select("topic_id", "c", F.array(*[F.col(f"m{j}") for j in range(dim)]).alias("new"))
+        moved = centres.join(fresh, ["topic_id", "c"], "left").select("topic_id", "c", F.coalesce("new", "v").alias("v"), F.coalesce(F.col("new") != F.col("v"), F.lit(False)).alias("moves"))
+        centres, seen = materialize(moved, f"{base}/round{i}", moves=F.count_if("moves"))
+        centres = centres.drop("moves")
+        if not seen["moves"]:
+            break
+    return met(centres).mapInArrow(labels, "id bigint, topic_id bigint, cluster int, distance double")
+
+
+def _closest(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of a batch (v, cs), the nearest of each one's own centres, and the squared distance to it, to nine places."""
+    v = batch["v"].flatten().to_numpy().reshape(-1, dim)
+    if not len(v):
+        return v, np.empty(0, np.int64), np.empty(0)
+    cs = batch["cs"]
+    number, centre = cs.flatten().flatten()
+    counts = cs.value_lengths().to_numpy()
+    row, start = np.repeat(np.arange(len(v)), counts), np.cumsum(counts) - counts
+    d = np.round(((v[row] - centre.flatten().to_numpy().reshape(-1, dim)) ** 2).sum(1), 9)
+    least = np.minimum.reduceat(d, start)
+    # Centres are in the order of their numbers, so the first of equal ones is the smallest.
+    _, first = np.unique(row[d == least[row]], return_index=True)
+    return v, number.to_numpy()[d == least[row]][first].astype(np.int64), least
+
+
+def split(found: DataFrame, least: int = 3) -> DataFrame:
+    """(topic_id, cluster, size, inertia, first_id, child): the clusters of subclusters(): how many ideas, the sum of their squared distances, the
+    idea nearest to the centre, and whether the cluster is large enough to become a topic below its own."""
+    one = found.groupBy("topic_id", "cluster").agg(F.count("*").alias("size"), F.round(F.sum("distance"), 6).alias("inertia"), F.min(F.struct("distance", "id")).alias("first"))
+    return one.select("topic_id", "cluster", "size", "inertia", F.col("first.id").alias("first_id"), (F.col("size") >= least).alias("child"))
+
+
 def cluster_report(rows: DataFrame, dim: int = 64) -> DataFrame:
     """(topic_id, size, score, misplaced, partners, may_split) of each topic of topic_ideas(): how close it is, how many of its
     ideas are nearer to another topic, how many topics it may merge with, and whether it may be split."""

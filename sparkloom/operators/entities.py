@@ -50,3 +50,19 @@ def link_mentions(mentions: DataFrame, golden: DataFrame, least: float = 0.8) ->
     """mentions with golden_id, null where no entry fits."""
     found = find_golden(mentions, golden, least).select("name", F.col("golden_id").alias("_golden"))
     return mentions.drop("golden_id").join(found, "name", "left").withColumnRenamed("_golden", "golden_id")
+
+
+def search_entities(names: DataFrame, golden: DataFrame, mentions: DataFrame, kind: str | None = None) -> DataFrame:
+    """(name, golden_id, canonical_name, type, similarity, mention_count) of each different name: the entries of exactly this
+    name, else the one that find_golden() gives, without those of another type than `kind`.
+
+    golden is (id, canonical_name, type), mentions is (golden_id). Mentions are counted before they are joined.
+    """
+    asked = names.where(F.length("name") > 0).select("name").distinct()
+    entries = golden.select(F.col("id").alias("golden_id"), "canonical_name", "type")
+    exact = asked.join(entries.select("golden_id", "canonical_name"), F.col("name") == F.col("canonical_name")).select("name", "golden_id", F.lit(1.0).alias("similarity"))
+    near = find_golden(asked.join(exact.select("name"), "name", "left_anti"), golden).select("name", "golden_id", "similarity")
+    counts = mentions.where(F.col("golden_id").isNotNull()).groupBy("golden_id").agg(F.count("*").alias("mention_count"))
+    found = exact.unionByName(near).join(entries, "golden_id").join(counts, "golden_id", "left")
+    fits = F.lit(True) if kind is None else F.col("type") == kind
+    return found.where(fits).select("name", "golden_id", "canonical_name", "type", "similarity", F.coalesce("mention_count", F.lit(0)).alias("mention_count"))

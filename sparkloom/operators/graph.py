@@ -171,3 +171,21 @@ def best_links(links: DataFrame, most: int = 3) -> DataFrame:
     """(topic_id, rank, related_topic_id, similarity): the `most` nearest of each topic's outgoing links."""
     w = Window.partitionBy("topic_id").orderBy(F.desc("similarity"), "related_topic_id")
     return links.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("topic_id", "rank", "related_topic_id", "similarity")
+
+
+def executed_relations(proposed: DataFrame, ideas: DataFrame, known: DataFrame) -> DataFrame:
+    """(from_id, to_id, relation_type): the proposed relations (source_file, from_line, to_id, type) that can be made and aren't
+    known: the line names an idea, the smallest id if several, and the target exists. A missing type is 'related'; each once."""
+    at = ideas.where("source_file IS NOT NULL AND source_line IS NOT NULL").groupBy("source_file", F.col("source_line").alias("from_line")).agg(F.min("id").alias("from_id"))
+    made = proposed.join(at, ["source_file", "from_line"]).join(ideas.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    rows = made.select("from_id", "to_id", F.coalesce("type", F.lit("related")).alias("relation_type")).distinct()
+    return rows.join(known.select("from_id", "to_id", "relation_type").distinct(), ["from_id", "to_id", "relation_type"], "left_anti")
+
+
+def link_topics(links: DataFrame, fresh: DataFrame) -> DataFrame:
+    """links with those of fresh in place of or beside its own: one row for each (topic_id, related_topic_id), fresh ones first,
+    then the greatest (similarity, link_type). Both have topic_id, related_topic_id, similarity, link_type."""
+    cols = ["topic_id", "related_topic_id", "similarity", "link_type"]
+    rows = links.select(*cols, F.lit(0).alias("_new")).unionByName(fresh.select(*cols, F.lit(1).alias("_new")))
+    last = rows.groupBy("topic_id", "related_topic_id").agg(F.max(F.struct("_new", "similarity", "link_type")).alias("l"))
+    return last.select("topic_id", "related_topic_id", "l.similarity", "l.link_type")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_topic
+from ..functions.text import bad_topic_name, canonical_topic, clean_topic_name
 from .memory import PROTECTED, importance, should_preserve, spans, visible, when_said, with_topic
 from .ordering import numbered
 
@@ -176,3 +176,21 @@ def answered(ideas: DataFrame, relations: DataFrame) -> DataFrame:
     hit = relations.where("relation_type = 'answers'").join(by, "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct().withColumn("_hit", F.lit(True))
     now = (F.col("intent") == "question") & F.col("_hit")
     return ideas.join(hit, "id", "left").withColumn("answered", F.when(now, True).otherwise(F.col("answered"))).select(ideas.columns)
+
+
+def store_ideas(ideas: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The rows of fresh that become ideas: those at a place (source_file, source_line) that no idea has, of several at one
+    place the smallest id. Rows without a place are all stored."""
+    place = ["source_file", "source_line"]
+    there = F.col("source_file").isNotNull() & F.col("source_line").isNotNull()
+    first = fresh.where(there).groupBy(*place).agg(F.min("id").alias("id")).join(ideas.where(there).select(*place).distinct(), place, "left_anti")
+    return fresh.where(there).join(first.select("id"), "id", "left_semi").unionByName(fresh.where(~there))
+
+
+def topic_names(messages: DataFrame, fallback: str = "Discussion", width: int = 200) -> DataFrame:
+    """(session, name): a topic name for each session from the head of its first message, by time (none last), file and line;
+    `fallback` where that makes none. The first message is kept by an aggregate."""
+    at = F.struct(F.col("sent_at").isNull().alias("late"), "sent_at", "source_file", "line_num", "rec_id")
+    head = F.min_by(F.substring("content", 1, width), at).alias("head")
+    named = messages.where(F.col("session").isNotNull()).groupBy("session").agg(head).select("session", clean_topic_name(F.col("head")).alias("name"))
+    return named.select("session", F.when(~bad_topic_name(F.col("name")), F.col("name")).otherwise(F.lit(fallback)).alias("name"))

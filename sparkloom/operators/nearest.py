@@ -25,13 +25,13 @@ def usable(rows: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull() & (F.size(vector) == dim) & (size > 0) & (size < float("inf"))).select(F.col(key).alias("id"), v.alias("v"))
 
 
-def _in_passes(queries: DataFrame, rows: DataFrame, dim: int, make: Callable, schema: str, most: int = PASS) -> tuple[DataFrame, int]:
-    """What make(ids, vectors), a function for mapInArrow, finds in rows, for passes of about `most` queries by hash of their
-    ids, and the number of passes. With more than one, each pass's result is written before the next pass's queries are
+def _in_passes(queries: DataFrame, rows: DataFrame, dim: int, make: Callable, schema: str, most: int = PASS, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """What make(ids, vectors, *more), a function for mapInArrow, finds in rows, for passes of about `most` queries by hash of
+    their ids, and the number of passes. With more than one, each pass's result is written before the next pass's queries are
     read, so the driver and the executors hold one pass at a time."""
     spark = rows.sparkSession
     base = shared_dir(spark)
-    kept, seen = materialize(queries.select("id", "v"), f"{base}/queries", n=F.count("*"))
+    kept, seen = materialize(queries.select("id", "v", *more), f"{base}/queries", n=F.count("*"))
     passes = -(-seen["n"] // most)
     if not passes:
         return spark.createDataFrame([], schema), 0
@@ -39,7 +39,7 @@ def _in_passes(queries: DataFrame, rows: DataFrame, dim: int, make: Callable, sc
     def found(asked: DataFrame) -> DataFrame:
         block = asked.toArrow().combine_chunks().sort_by("id")
         names = block["id"].to_numpy()
-        return rows.mapInArrow(make(names, block["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)), schema)
+        return rows.mapInArrow(make(names, block["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim), *[block[c].to_numpy() for c in more]), schema)
 
     if passes == 1:
         return found(kept), 1
@@ -48,12 +48,12 @@ def _in_passes(queries: DataFrame, rows: DataFrame, dim: int, make: Callable, sc
     return spark.read.schema(schema).parquet(f"{base}/pass=*"), passes
 
 
-def _slices(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of at most SLICE rows each."""
+def _slices(batches: Iterator[pa.RecordBatch], dim: int, more: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids and vectors, and the next `more` columns, of at most SLICE rows each."""
     for b in batches:
         for s in range(0, b.num_rows, SLICE):
             part = b.slice(s, SLICE)
-            yield part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim)
+            yield part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(-1, dim), *[part.column(2 + i).to_numpy() for i in range(more)]
 
 
 def _scores(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,23 +80,27 @@ def _best(score: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     return np.take_along_axis(short, order, 1)
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str = "cosine", with_self: bool = False, most: int = PASS) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str = "cosine", with_self: bool = False, most: int = PASS, apart: str | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of each query, by score, then id; both inputs are (id, v).
 
     score is the cosine or the distance, to nine places. Without with_self a row isn't its query's neighbour under the
     same id. Each task keeps its k best of each query; only those are shuffled. Queries go out in passes of `most`.
+    apart names a bigint column of both inputs, never null: a row with its query's value isn't the query's neighbour.
     """
     sign = -1.0 if metric == "cosine" else 1.0
+    more = (apart,) if apart else ()
 
-    def make(names: np.ndarray, vectors: np.ndarray):
+    def make(names: np.ndarray, vectors: np.ndarray, *groups: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best: list = [None] * -(-len(names) // BLOCK)
-            for ids, v in _slices(batches, dim):
+            for ids, v, *of in _slices(batches, dim, len(more)):
                 for i in range(len(best)):
                     mine = names[i * BLOCK : (i + 1) * BLOCK]
                     score = _scores(metric, vectors[i * BLOCK : (i + 1) * BLOCK], v)
                     if not with_self:
                         score[mine[:, None] == ids[None]] = np.inf
+                    for asked, there in zip(groups, of):
+                        score[asked[i * BLOCK : (i + 1) * BLOCK, None] == there[None]] = np.inf
                     at = _best(score, ids, k)
                     near, who = np.take_along_axis(score, at, 1), ids[at]
                     if best[i] is not None:
@@ -112,13 +116,14 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, dim: int = 64, metric: str
 
         return run
 
-    out, _ = _in_passes(queries, rows, dim, make, "query_id bigint, id bigint, near double", most)
+    out, _ = _in_passes(queries, rows.select("id", "v", *more), dim, make, "query_id bigint, id bigint, near double", most, more)
     w = Window.partitionBy("query_id").orderBy("near", "id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "id", (F.col("near") * sign).alias("score"))
 
 
-def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim: int = 64, spare: int = 20) -> DataFrame:
+def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim: int = 64, spare: int = 20, apart: str | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k nearest rows of each query by cosine, then id, without the pairs (query_id, id).
+    apart is as for knn.
 
     The search looks as many neighbours further as the query has pairs, so that k are left after they are taken out: `spare`
     further for most, the next power of two for queries with more pairs, in passes that are smaller as the lists are longer.
@@ -127,11 +132,11 @@ def knn_apart(queries: DataFrame, rows: DataFrame, pairs: DataFrame, k: int, dim
     own = pairs.join(queries.select(F.col("id").alias("query_id")), "query_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > spare)
     # The length of n - 1 in binary digits is the exponent of the next power of two.
     many, seen = materialize(own.select(F.col("query_id").alias("id"), F.length(F.bin(F.col("n") - 1)).alias("digits")), f"{shared_dir(queries.sparkSession)}/many", n=F.count("*"))
-    wide = knn(queries.join(many.select("id"), "id", "left_anti") if seen["n"] else queries, rows, k + spare, dim)
+    wide = knn(queries.join(many.select("id"), "id", "left_anti") if seen["n"] else queries, rows, k + spare, dim, apart=apart)
     for (digits,) in many.select("digits").distinct().orderBy("digits").collect() if seen["n"] else []:
         further = k + 2**digits
         asked = queries.join(many.where(F.col("digits") == digits).select("id"), "id", "left_semi")
-        wide = wide.unionByName(knn(asked, rows, further, dim, most=max(1, PASS * (k + spare) // further)))
+        wide = wide.unionByName(knn(asked, rows, further, dim, most=max(1, PASS * (k + spare) // further), apart=apart))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     left = wide.drop("rank").join(pairs, ["query_id", "id"], "left_anti").withColumn("rank", F.row_number().over(w))
     return left.where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -110,6 +110,38 @@ def research(vector: DataFrame, keyword: DataFrame, k: int) -> DataFrame:
     return ranked(rows.select("query_id", "id", score.alias("score"), found.alias("found")), k, "score", "id").select("query_id", "rank", "id", "score", "found")
 
 
+def further(found: DataFrame, similar: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, rank, id, score, found, similar_to): a result list of research(), then the rows of similar (query_id: an id,
+    rank, id) that the list's first `most` rows lead to and that it lacks, each once, by the row that leads to it first."""
+    led = found.where(F.col("rank") <= most).select("query_id", F.col("rank").alias("of"), F.col("id").alias("seed"))
+    after = led.join(similar.select(F.col("query_id").alias("seed"), "rank", "id"), "seed").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    once = after.groupBy("query_id", "id").agg(F.min(F.struct("of", "rank", "seed")).alias("first"))
+    size = found.groupBy("query_id").agg(F.max("rank").alias("size"))
+    placed = ranked(once, 1 << 30, "first.of", "first.rank", "id").join(size, "query_id")
+    more = placed.select("query_id", (F.col("size") + F.col("rank")).alias("rank"), "id", F.lit(None).cast("double").alias("score"), F.lit("similar").alias("found"), F.col("first.seed").alias("similar_to"))
+    return found.select("query_id", "rank", "id", "score", "found", F.lit(None).cast("bigint").alias("similar_to")).unionByName(more)
+
+
+def report(found: DataFrame, rows: DataFrame, most: int = 10) -> DataFrame:
+    """(query_id, ideas, sessions, topics, kinds): of each result list the number of rows, of their sessions and topics, and how
+    often each intent ('unknown' if null) is among the first `most`, the frequent first; rows is (id, session, topic_id, intent).
+
+    A list's rows are few: their intents are counted within one row of the aggregate."""
+    told = found.join(rows.select("id", "session", "topic_id", "intent"), "id")
+    head = F.when(F.col("rank") <= most, F.coalesce("intent", F.lit("unknown")))
+    one = told.groupBy("query_id").agg(F.count("*").alias("ideas"), F.countDistinct("session").alias("sessions"), F.countDistinct("topic_id").alias("topics"), F.collect_list(head).alias("of"))
+    counted = F.transform(F.array_distinct("of"), lambda i: F.struct((-F.size(F.filter("of", lambda x: x == i))).alias("n"), i.alias("i")))
+    lines = F.transform(F.array_sort(counted), lambda c: F.concat(c["i"], F.lit(": "), (-c["n"]).cast("string")))
+    return one.select("query_id", "ideas", "sessions", "topics", F.array_join(lines, ", ").alias("kinds"))
+
+
+def timeline(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, date, ids): the rows of each result list by day, joined with commas in the list's order; rows is (id, at)."""
+    told = found.join(rows.select("id", "at"), "id").where("at IS NOT NULL")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string"))
+    return told.groupBy("query_id", F.date_format("at", "yyyy-MM-dd").alias("date")).agg(F.array_join(listed, ",").alias("ids"))
+
+
 def activation_rerank(hits: DataFrame, activation: DataFrame, weight: float = 0.3) -> DataFrame:
     """(query_id, rank, id, score): a result list again by (1 - w)(1 - i / n) + w * activation, i from 0."""
     n = F.count("*").over(Window.partitionBy("query_id"))
